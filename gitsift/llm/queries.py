@@ -6,4 +6,4 @@ from gitsift.plans.registry import Registry
 
 R = Registry()
 
-from gitsift.llm import queries_counts, queries_names  # noqa: E402,F401  they register their queries
+from gitsift.llm import queries_counts, queries_names, queries_texts  # noqa: E402,F401  they register their queries
