@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gitsift.llm.leaks import leaked_items
 from gitsift.llm.queries import R
 from gitsift.llm.spans import shared_places, shared_portion, sharing_pairs
 from gitsift.session import table
@@ -25,3 +26,21 @@ def p9_shared_portion(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     places = shared_places(documents, "doc_id", "text", MIN_SPAN)
     return shared_portion(documents, "doc_id", "text", places).withColumn("portion", F.round("portion", 6))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+@R.query()
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items of which they hold a passage."""
+    return _leaks(spark, sf_dir).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+@R.query()
+def p7_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item with the number of documents that it leaked into."""
+    n = _leaks(spark, sf_dir).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    items = table(spark, sf_dir, "eval_items").select("item_id")
+    return items.join(n, F.col("item") == F.col("item_id"), "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"))
