@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gitsift.llm.leaks import leaked_items
+from gitsift.llm.mixture import mix, shares, token_counts
 from gitsift.llm.queries import R
 from gitsift.llm.spans import shared_places, shared_portion, sharing_pairs
-from gitsift.session import table
+from gitsift.session import stage, table
 
 MIN_SPAN = 300
 
@@ -44,3 +45,23 @@ def p7_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _leaks(spark, sf_dir).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     items = table(spark, sf_dir, "eval_items").select("item_id")
     return items.join(n, F.col("item") == F.col("item_id"), "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    counts = stage(token_counts(table(spark, sf_dir, "documents"), "doc_id", "source", "text"), "token-counts")
+    targets = table(spark, sf_dir, "mix_targets")
+    return mix(counts, targets), targets
+
+
+@R.query()
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture with their copies."""
+    mixed, _ = _mixture(spark, sf_dir)
+    return mixed.where(F.col("copies") > 0).select(F.col("id").alias("doc_id"), "source", "n_tokens", "copies")
+
+
+@R.query()
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: the share aimed at and the share reached."""
+    mixed, targets = _mixture(spark, sf_dir)
+    return shares(mixed, targets).withColumn("actual_share", F.round("actual_share", 6))
