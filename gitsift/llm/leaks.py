@@ -26,7 +26,7 @@ FULL = np.iinfo(np.uint64).max
 def words(text: Column) -> Column:
     """Hashes of the words (runs of letters or digits, lower case) of a text without tags and entities; null text: null."""
     t = F.lower(text)
-    t = F.regexp_replace(t, "[­​-‍﻿]", "")
+    t = F.regexp_replace(t, r"[\x{00AD}\x{200B}-\x{200D}\x{FEFF}]", "")
     t = F.when(t.contains("<"), F.regexp_replace(t, r"(?s)<!--.*?-->|</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", " ")).otherwise(t)
     t = F.when(t.contains("&"), F.regexp_replace(t, r"&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]{2,8});", " ")).otherwise(t)
     return F.transform(F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
