@@ -167,7 +167,7 @@ def scanned_part(text: Column) -> Column:
     """The first SCAN_BYTES bytes of the text; a character cut by the limit is dropped."""
     bytes_ = F.encode(text, "utf-8")
     cut = F.substring(bytes_, 1, SCAN_BYTES)
-    whole = F.regexp_replace(F.decode(cut, "utf-8"), r"\x{FFFD}+\z", "")
+    whole = F.regexp_replace(F.make_valid_utf8(cut.cast("string")), r"\x{FFFD}+\z", "")
     return F.when(F.octet_length(text) > SCAN_BYTES, whole).otherwise(text)
 
 
