@@ -286,7 +286,7 @@ def map_names(
     reference: DataFrame,
     decorations: dict[str, Decorations] = PACKAGES,
     shard_entries: int = 20_000,
-    name_blocks: int = 4,
+    block_names: int = 4_000,
 ) -> DataFrame:
     """For each distinct (``space``, ``name``) of ``typed``: the reference entry it is a spelling of.
 
@@ -299,19 +299,20 @@ def map_names(
     out; an empty reference leaves every name unmatched.
 
     The reference is cut into shards of about ``shard_entries`` entries, each a BK-tree
-    in one task; names are cut into blocks and each block meets each shard of its namespace, so neither a frequent name
-    nor a large list falls to one task. The winners of the shards are merged at the end.
+    in one task; the distinct names are cut into blocks of about ``block_names``, and each block meets each shard of its
+    namespace. Both numbers follow the counts of the namespace, so neither many names
+    nor a large list fall to one task. The winners of the shards are merged at the end.
     """
     names = typed.select("space", "name").where(F.col("name").isNotNull() & F.col("space").isNotNull()).distinct()
     entries = reference.select("space", "name").where(F.col("name").isNotNull() & F.col("space").isNotNull()).distinct()
     exact = names.join(entries, ["space", "name"], "left_semi").select("space", "name", F.col("name").alias("entry"), F.lit(0).alias("faults"), F.lit(0).alias("cost"))
     rest = names.join(entries, ["space", "name"], "left_anti")
-    shards = entries.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / shard_entries).cast("int").alias("n_shards"))
-    sharded = entries.join(shards, "space").withColumn("shard", F.pmod(F.xxhash64("name"), F.col("n_shards")).cast("int"))
-    e = sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(name_blocks - 1)))).select("space", "shard", "block", "name")
-    n = rest.join(shards, "space").select(
-        "space", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)).alias("shard"), F.pmod(F.xxhash64("name"), F.lit(name_blocks)).cast("int").alias("block"), "name"
-    )
+    parts = lambda df, per, name: df.groupBy("space").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias(name))
+    cuts = parts(entries, shard_entries, "shards").join(parts(rest, block_names, "blocks"), "space")
+    part = lambda n: F.pmod(F.xxhash64("name"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    e = entries.join(cuts, "space").select("space", part("shards").alias("shard"), each("blocks").alias("block"), "name")
+    n = rest.join(cuts, "space").select("space", each("shards").alias("shard"), part("blocks").alias("block"), "name")
 
     def search(key: tuple[str, int, int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         best: dict[str, tuple[int, int, bytes, str]] = {}

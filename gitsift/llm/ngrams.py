@@ -51,7 +51,7 @@ def _suffixes(max_n: int, keys: list[str]):
             rec = np.asarray(parents, dtype=np.int64)
             size = len(code)
             ctx = np.zeros((size, max_n), dtype=np.int64)  # 0: past the end of the record
-            for k in range(max_n):
+            for k in range(min(max_n, size)):
                 same = rec[: size - k] == rec[k:]
                 ctx[: size - k, k] = np.where(same, code[k:], 0)
             order = np.lexsort((*ctx.T[::-1], rec))
