@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gitsift.functions import commits as C
+from gitsift.rules.engine import Rule, scan
 
 
 def single_parent(raw: DataFrame, scope: Sequence[str] = ("repo",)) -> DataFrame:
@@ -116,6 +117,22 @@ def bundled_binaries(changes: DataFrame) -> DataFrame:
     return rows.groupBy("seq").agg(F.transform(listed, lambda x: x["b"]).alias("new_binary_files"))
 
 
+def added_text(changes: DataFrame) -> DataFrame:
+    """Per file that is not deleted and gained lines: ``seq``, ``file_ord``, ``path`` and the added lines as one ``text``."""
+    path = F.coalesce(F.nullif("b_path", F.lit("")), F.nullif("a_path", F.lit("")))
+    lines = F.filter(F.split("patch", "\n", -1), lambda x: x.startswith("+") & ~x.startswith("+++"))
+    rows = changes.where(~F.coalesce("is_deleted", F.lit(False))).select("seq", "file_ord", path.alias("path"), lines.alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: F.substring(x, F.lit(2), F.length(x))), "\n")
+    return rows.where(F.col("path").isNotNull() & (F.size("lines") > 0)).select("seq", "file_ord", "path", text.alias("text"))
+
+
+def rule_hits(changes: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Per commit with any: ``yara_hits`` of all its files, in order of files and rules."""
+    hits = scan(added_text(changes), rules).select("seq", "file_ord", F.posexplode_outer("yara_hits").alias("ord", "hit")).where(F.col("hit").isNotNull())
+    listed = F.array_sort(F.collect_list(F.struct("file_ord", "ord", "hit")))
+    return hits.groupBy("seq").agg(F.transform(listed, lambda x: x["hit"]).alias("yara_hits"))
+
+
 def extract_commits(raw: DataFrame, changes: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Feature rows of all single-parent commits. ``hits`` (seq, yara_hits): rule hits per commit, if scanned."""
     out = single_parent(raw)

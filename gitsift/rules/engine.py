@@ -25,26 +25,61 @@ SEVERITIES = ("critical", "high", "medium", "low")
 
 @dataclass(frozen=True)
 class Text:
-    """One string of a rule. kind: ``text`` or ``regex`` (dot excludes only the line feed, ^ and $ are the ends of the data, word characters are ASCII)."""
+    """One string of a rule, matched on the bytes of the text.
+
+    kind: ``text``; ``regex`` (dot excludes only the line feed, ^ and $ are the ends of the data, word characters are ASCII, \\x80
+    to \\xff are bytes of UTF-8); ``hex`` (bytes in hexadecimal, ?? for any, [2-12] for a gap).
+    """
 
     pattern: str
     kind: str = "regex"
     nocase: bool = False
 
-    def java(self) -> str:
-        body = re.escape(self.pattern) if self.kind == "text" else to_java(self.pattern)
-        return ("(?i)" if self.nocase else "") + "(?d)" + body
+    def body(self) -> str:
+        if self.kind == "text":
+            return re.escape(as_bytes(self.pattern))
+        return hex_regex(self.pattern) if self.kind == "hex" else to_java(as_bytes(self.pattern))
+
+    def flags(self) -> str:
+        return "(?is)" if self.nocase and self.kind == "hex" else "(?i)(?d)" if self.nocase else "(?s)" if self.kind == "hex" else "(?d)"
 
     def found(self, text: Column) -> Column:
         if self.kind == "text":
-            return F.lower(text).contains(self.pattern.lower()) if self.nocase else text.contains(self.pattern)
-        return text.rlike(self.java())
+            p = as_bytes(self.pattern)
+            # lower() would also change bytes beyond ASCII, so only the letters A to Z are folded
+            return F.translate(text, UPPER, UPPER.lower()).contains(p.translate(FOLD)) if self.nocase else text.contains(p)
+        return text.rlike(self.flags() + self.body())
 
     def count(self, text: Column) -> Column:
         """Matches at every start, overlapping ones too."""
-        flags = ("(?i)" if self.nocase else "") + "(?d)"
-        body = re.escape(self.pattern) if self.kind == "text" else to_java(self.pattern)
-        return F.regexp_count(text, F.lit(f"{flags}(?=(?:{body}))"))
+        return F.regexp_count(text, F.lit(f"{self.flags()}(?=(?:{self.body()}))"))
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FOLD = str.maketrans(UPPER, UPPER.lower())
+
+
+def as_bytes(pattern: str) -> str:
+    """The UTF-8 bytes of a pattern, one character each."""
+    return pattern.encode("utf-8").decode("latin-1")
+
+
+def hex_regex(pattern: str) -> str:
+    out = []
+    for part in re.findall(r"\[[^\]]*\]|[0-9A-Fa-f?]{2}|[()|]", pattern):
+        if part[0] == "[":
+            low, dash, high = part[1:-1].partition("-")
+            out.append(f"[\\s\\S]{{{low.strip() or 0},{high.strip()}}}" if dash else f"[\\s\\S]{{{low.strip()}}}")
+        elif part in ("(", "|", ")"):
+            out.append("(?:" if part == "(" else part)
+        elif part == "??":
+            out.append(r"[\s\S]")
+        elif "?" in part:
+            digits = [part.replace("?", d) for d in "0123456789abcdef"]
+            out.append("[" + "".join(rf"\x{d}" for d in digits) + "]")
+        else:
+            out.append(rf"\x{part}")
+    return "".join(out)
 
 
 def to_java(pattern: str) -> str:
@@ -164,11 +199,8 @@ def path_excluded(path: Column) -> Column:
 
 
 def scanned_part(text: Column) -> Column:
-    """The first SCAN_BYTES bytes of the text; a character cut by the limit is dropped."""
-    bytes_ = F.encode(text, "utf-8")
-    cut = F.substring(bytes_, 1, SCAN_BYTES)
-    whole = F.regexp_replace(F.make_valid_utf8(cut.cast("string")), r"\x{FFFD}+\z", "")
-    return F.when(F.octet_length(text) > SCAN_BYTES, whole).otherwise(text)
+    """The first SCAN_BYTES bytes of the text in UTF-8, one character for each byte, as rules match bytes."""
+    return F.decode(F.substring(F.encode(text, "utf-8"), 1, SCAN_BYTES), "ISO-8859-1")
 
 
 def scan(files: DataFrame, rules: Sequence[Rule], path: str = "path", text: str = "text") -> DataFrame:

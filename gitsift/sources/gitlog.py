@@ -1,7 +1,8 @@
 """A batch data source over local repositories: ``spark.read.format("gitlog").option("repos", "a,b")``.
 
 Reads the history with ``git log``; a partition is a range of commits of one repository. Option ``part``
-chooses ``commits`` (raw_commits columns) or ``changes`` (one row per changed file, with its patch).
+chooses ``commits`` (raw_commits columns) or ``changes`` (one row per changed file, with its patch). ``seq`` is the place
+of a commit in its history, oldest first, and differs between repositories.
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ class GitLogReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out = []
-        for repo in self.repos:
+        for k, repo in enumerate(self.repos):
             if not (Path(repo) / ".git").is_dir():
                 raise ValueError(f"{repo} is no repository")
             shas = git(repo, "rev-list", "--reverse", "HEAD").decode().split()
-            out += [Range(repo, i, shas[i : i + self.size]) for i in range(0, len(shas), self.size)]
+            out += [Range(repo, (k << 40) + i, shas[i : i + self.size]) for i in range(0, len(shas), self.size)]
         return out
 
     def read(self, partition: Range) -> Iterator[tuple]:

@@ -100,3 +100,12 @@ def test_extract(spark):
 def test_signatures(spark):
     df = spark.createDataFrame([("x", b"MZ\x90"), ("x.exe", b"MZ"), ("x.EXE", b"MZ"), ("x", b"\xcf\xfa\xed\xfe"), ("x", b"M"), ("x", None), ("x", b"text")], "p string, h binary")
     assert [r[0] for r in df.select(C.binary_kind(F.col("p"), F.col("h"))).collect()] == ["PE/EXE (Windows)", None, None, "Mach-O 64-bit (byte-swapped)", None, None, None]
+
+
+def test_rule_hits_of_added_lines(spark):
+    from gitsift.rules.engine import Rule, Text
+
+    rules = [Rule("one", ["any"], {"s": Text("X")}), Rule("two", ["any"], {"s": Text("Y\nX")})]
+    changes = [(1, 1, "a", "a", False, False, "+Y\n+X\n-X", None), (1, 0, None, "b", True, False, "+X", None), (2, 0, "c", None, False, True, "+X", None), (3, 0, "d", "d", False, False, "-X\n X", None), (4, 0, "e", "e", False, False, None, None)]
+    got = {r.seq: [(h.path, h.rule_id) for h in r.yara_hits] for r in extract.rule_hits(spark.createDataFrame(changes, CH), rules).collect()}
+    assert got == {1: [("b", "one"), ("a", "one"), ("a", "two")]}

@@ -52,6 +52,10 @@ def test_repository(spark, tmp_path):
     got = extract_commits(read("commits"), read("changes")).orderBy("seq").collect()
     assert [(r.loc_added, r.loc_removed, r.top_dirs) for r in got][0] == (2, 1, ["(root)"])
     assert got[1].new_binary_files[0].kind == "PE/EXE (Windows)"
+    from gitsift.__main__ import main
+
+    assert main([str(repo), "--limit", "5", "--out", str(tmp_path / "scored"), "--threshold", "0.1"], spark) == 0
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "scored")).count() == 2
     with pytest.raises(Exception):
         spark.read.format("gitlog").option("repos", str(tmp_path / "none")).load().collect()
 
