@@ -57,27 +57,30 @@ WITH c AS (SELECT sha, any_value(email) AS email, any_value(authored_ts) AS ts,
                   any_value(list_filter(list_distinct(coalesce(top_dirs, [])), lambda x: x IS NOT NULL)) AS dirs
            FROM commits WHERE sha IS NOT NULL GROUP BY sha),
 e AS (SELECT email, count(*) AS n_events, max(ts) AS last_ts, round(sum(gap), 3) AS sum_gap_seconds, round(sum(churn), 3) AS sum_churn_ratio FROM c GROUP BY email),
-d AS (SELECT email, dir, count(*) AS n, max(ts) AS last_ts FROM (SELECT email, ts, unnest(dirs) AS dir FROM c) GROUP BY ALL),
-l AS (SELECT email, count(*) AS n_dirs, string_agg(dir || '=' || n || '@' || epoch(last_ts)::BIGINT, '|' ORDER BY dir) AS dirs FROM d GROUP BY email)
+d AS (SELECT email, dir, count(*) AS n, max(ts) AS last_ts, coalesce(round(sum(gap)), 0)::BIGINT AS gap, coalesce(round(sum(churn) * 1000), 0)::BIGINT AS churn FROM (SELECT email, ts, gap, churn, unnest(dirs) AS dir FROM c) GROUP BY ALL),
+l AS (SELECT email, count(*) AS n_dirs, string_agg(dir || '=' || n || '@' || epoch(last_ts)::BIGINT || ':' || gap || ':' || churn, '|' ORDER BY dir) AS dirs FROM d GROUP BY email)
 SELECT email, n_events, epoch((SELECT max(ts) FROM c))::BIGINT - epoch(last_ts)::BIGINT AS recency_seconds, sum_gap_seconds, sum_churn_ratio,
        coalesce(n_dirs, 0) AS n_dirs, coalesce(dirs, '') AS dirs
 FROM e LEFT JOIN l USING (email)
 """)
 def p2_author_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per author: commits, recency, totals, and count and last time per directory."""
+    """One row per author: commits, recency, totals, and per directory ``name=count@last time:gap seconds:churn in thousandths``."""
     store = _author_store(spark, sf_dir, VALUES)
     states = store.states(spark)
     by_author = BucketStore(store.path, ("email",), store.types, store.ts, store.order, VALUES).features(spark)
     rows = feature_rows(by_author, ("email",), VALUES)
     newest = states.agg(F.unix_timestamp(F.max("last_ts")).alias("t")).scalar()
-    one = lambda k: F.format_string("%s=%d@%d", k, F.col("by_type")[k]["n"], F.unix_timestamp(F.col("by_type")[k]["last_ts"]))
+    whole = lambda x, scale: F.coalesce(F.round(x * scale).cast("long"), F.lit(0))
+    one = lambda e: F.format_string(
+        "%s=%d@%d:%d:%d", e["key"], e["value"]["n"], F.unix_timestamp(e["value"]["last_ts"]), whole(e["value"]["sum_gap_seconds"], 1), whole(e["value"]["sum_churn_ratio"], 1000)
+    )
     return rows.select(
         "email",
         "n_events",
         (newest - F.unix_timestamp("last_ts")).alias("recency_seconds"),
         *[F.round(f"sum_{v}", 3).alias(f"sum_{v}") for v in VALUES],
         F.size("by_type").cast("long").alias("n_dirs"),
-        F.array_join(F.transform(F.map_keys("by_type"), one), "|").alias("dirs"),
+        F.array_join(F.transform(F.map_entries("by_type"), one), "|").alias("dirs"),
     )
 
 
