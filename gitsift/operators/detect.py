@@ -12,7 +12,7 @@ from gitsift.functions import commits as C
 from gitsift.functions import scoring as S
 from gitsift.operators import profiles as P
 from gitsift.operators import supply
-from gitsift.session import distinct_commits, stage
+from gitsift.session import distinct_commits, stage, stage_all
 
 AUTHOR = ("repo", "email")
 NARROW = ["repo", "email", "seq", "hour_utc", "weekday_utc", "filetypes", "top_dirs", "gpg_signed", "author_committer_mismatch", "gap_seconds", "churn_ratio", "commit_delay_seconds", *P.METRICS]
@@ -73,20 +73,29 @@ def signals(commits: DataFrame, popular: DataFrame | None = None, disposable: Da
     rows = stage(commits.join(latest(narrow, limit), "sha").dropDuplicates(["sha"]), "scored-commits")
     counts = narrow.groupBy(*AUTHOR).agg(F.count(F.lit(1)).alias("author_commits"))
     scored_authors = rows.where(~is_bot(F.col("email"))).select(*AUTHOR).distinct()
-    established = counts.where(F.col("author_commits") > S.ESTABLISHED).join(scored_authors, list(AUTHOR), "left_semi").select(*AUTHOR)
+    established = stage(counts.where(F.col("author_commits") > S.ESTABLISHED).join(scored_authors, list(AUTHOR), "left_semi").select(*AUTHOR), "established")
     own = narrow.join(established, list(AUTHOR), "left_semi")
-    g_fits = P.wide_fits(P.tail_fits(P.metric_values(narrow, ["repo"]), ["repo", "metric"]), ["repo"], "g")
-    a_fits = P.wide_fits(P.tail_fits(P.metric_values(own, AUTHOR), [*AUTHOR, "metric"]), AUTHOR, "a")
-    r = rows.join(established.withColumn("established", F.lit(True)), list(AUTHOR), "left").withColumn("established", F.coalesce("established", F.lit(False)))
-    r = r.join(g_fits, "repo", "left").join(a_fits, list(AUTHOR), "left").join(P.author_profiles(own), list(AUTHOR), "left")
-    r = r.join(score_types(rows, narrow, established), "sha", "left")
-
     touched = rows.select("sha", *AUTHOR, F.explode(F.array_distinct("top_dirs")).alias("top_dir"))
-    dirs = touched.join(P.directory_counts(own), [*AUTHOR, "top_dir"], "left").groupBy("sha").agg(F.min(F.coalesce("n", F.lit(0))).alias("least_dir"))
-    r = r.join(dirs, "sha", "left")
+    # results of a row per repository, author or scored commit are stored, so that each plan stays small
+    parts = {
+        "fits": P.wide_fits(P.tail_fits(P.metric_values(narrow, ["repo"]), ["repo", "metric"]), ["repo"], "g"),
+        "author_fits": P.wide_fits(P.tail_fits(P.metric_values(own, AUTHOR), [*AUTHOR, "metric"]), AUTHOR, "a"),
+        "profiles": P.author_profiles(own),
+        "types": score_types(rows, narrow, established),
+        "directories": touched.join(P.directory_counts(own), [*AUTHOR, "top_dir"], "left").groupBy("sha").agg(F.min(F.coalesce("n", F.lit(0))).alias("least_dir")),
+    }
+    if popular is not None:
+        parts["typosquats"] = supply.first_typosquat(rows, popular, hosts)
+    part = stage_all(parts)
+    r = rows.join(established.withColumn("established", F.lit(True)), list(AUTHOR), "left").withColumn("established", F.coalesce("established", F.lit(False)))
+    r = r.join(part["fits"], "repo", "left")
+    for name in ("author_fits", "profiles"):
+        r = r.join(part[name], list(AUTHOR), "left")
+    for name in ("types", "directories"):
+        r = r.join(part[name], "sha", "left")
     none = F.lit(None)
     if popular is not None:
-        r = r.join(supply.first_typosquat(rows, popular, hosts), "sha", "left")
+        r = r.join(part["typosquats"], "sha", "left")
     else:
         r = r.withColumn("typosquat", none.cast("struct<ecosystem:string,name:string,match:string>"))
     r = r.withColumn("domain", C.email_domain(F.col("email")))

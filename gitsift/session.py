@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_all(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """:func:`stage` for several independent frames at a time, so that their small stages share the cluster."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        return dict(zip(frames, pool.map(stage, frames.values(), frames)))
+
+
 def distinct_commits(commits: DataFrame, *columns: str) -> DataFrame:
     """One row per ``sha`` with the given columns.
 
