@@ -21,7 +21,7 @@ def metric_values(commits: DataFrame, keys: Sequence[str], metrics: Sequence[str
 
 
 def weighted_ecdf(values: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``ecdf``, the share of the samples of a key that are at most ``value`` (ties included).
+    """Add ``ecdf``, the share of the samples of a key that are at most ``value`` (ties included), and ``low``, the key's least value.
 
     ``values`` has one row per key and distinct value, with its number ``n``. The running sum is taken in two levels:
     inside buckets of near values, and over the bucket totals of the key (a few hundred), so a key with
@@ -30,14 +30,14 @@ def weighted_ecdf(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     v = F.col("value")
     bucket = F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 16)
     rows = values.withColumn("_bucket", bucket)
-    totals = rows.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in"))
+    totals = rows.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in"), F.min("value").alias("_least"))
     order = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_bucket", F.coalesce(F.sum("_in").over(order), F.lit(0)).alias("_below"), F.sum("_in").over(W.partitionBy(*keys)).alias("_total"))
+    totals = totals.select(*keys, "_bucket", F.coalesce(F.sum("_in").over(order), F.lit(0)).alias("_below"), F.sum("_in").over(W.partitionBy(*keys)).alias("_total"), F.min("_least").over(W.partitionBy(*keys)).alias("low"))
     inside = F.sum("n").over(W.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
     ranked = rows.withColumn("_inside", inside)
     on = [ranked[k].eqNullSafe(totals[k]) for k in [*keys, "_bucket"]]
     joined = ranked.join(totals, on)
-    return joined.select(*[ranked[k] for k in keys], "value", "n", ((F.col("_below") + F.col("_inside")) / F.col("_total")).alias("ecdf"))
+    return joined.select(*[ranked[k] for k in keys], "value", "n", "low", ((F.col("_below") + F.col("_inside")) / F.col("_total")).alias("ecdf"))
 
 
 def tail_fits(values: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,8 +49,11 @@ def tail_fits(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     single = values.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high")).where("_low = _high")
     extra = single.select(*keys, (F.col("_high") + 1).alias("value"), F.lit(1).cast("long").alias("n"))
     e = weighted_ecdf(values.select(*keys, "value", "n").unionByName(extra), keys)
-    x, y, n = F.log(F.col("value") + num(EPS)), F.log(num(1 + EPS) - F.col("ecdf")), F.col("n").cast("double")
-    s = e.select(*keys, n.alias("n"), x.alias("x"), y.alias("y")).groupBy(*keys).agg(
+    # ln(x + eps) is taken from the least value on, which keeps its digits where values lie close together
+    low = F.col("low") + num(EPS)
+    x, y, n = F.log1p((F.col("value") - F.col("low")) / low), F.log(num(1 + EPS) - F.col("ecdf")), F.col("n").cast("double")
+    s = e.select(*keys, "low", n.alias("n"), x.alias("x"), y.alias("y")).groupBy(*keys).agg(
+        F.log(F.first("low") + num(EPS)).alias("x0"),
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.col("x")).alias("sx"),
         F.sum(F.col("n") * F.col("y")).alias("sy"),
@@ -60,7 +63,7 @@ def tail_fits(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     var = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     slope = F.when(var > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.when(var > 0, var)).otherwise(num(0))
     beta = F.col("beta")
-    intercept = (F.col("sy") + beta * F.col("sx")) / F.col("n")
+    intercept = (F.col("sy") + beta * F.col("sx")) / F.col("n") + beta * F.col("x0")
     alpha = F.when(beta != 0, F.exp(intercept / F.when(beta != 0, beta))).otherwise(num(0))
     return s.withColumn("beta", -slope).select(*keys, alpha.alias("alpha"), "beta")
 

@@ -157,7 +157,7 @@ def dir_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.query(f"""WITH {C}, {PROFILE}, a AS (SELECT repo, email, count(*) AS total, count(*) FILTER (coalesce(gpg_signed, false)) AS signed, count(*) FILTER (coalesce(mismatch, false)) AS mm FROM prof GROUP BY ALL)
-SELECT sha, CASE WHEN total >= 5 AND signed > total * 0.5 AND NOT coalesce(gpg_signed, false) THEN 0.85 ELSE 0 END AS signing,
+SELECT sha, CASE WHEN total >= 5 AND signed > total * 0.5 AND NOT coalesce(gpg_signed, false) THEN 0.85::DOUBLE ELSE 0::DOUBLE END AS signing,
 CASE WHEN total >= 5 AND coalesce(mismatch, false) AND mm / total < 0.2 THEN round(0.35 * (1 - mm / total / 0.2), 6) ELSE 0 END AS identity FROM c JOIN a USING (repo, email)""")
 def identity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unsigned commits of authors who usually sign; commits by another committer where that is rare."""
