@@ -12,21 +12,43 @@ from gitsift.functions import commits as C
 from gitsift.rules.engine import Rule, scan
 
 
+BLOCK = 100_000  # walk places that make up one block of an author's commits
+
+
+def gaps(commits: DataFrame, scope: Sequence[str] = ("repo",), block: int = BLOCK) -> DataFrame:
+    """(``sha``, ``before``): authored time of the author's commit before, in walk order; null for the first.
+
+    An author may own a large part of a history, so the commits are cut into blocks of walk places: inside a block a
+    window looks back, and the first commit of a block takes the last of the author's block before.
+    """
+    keys = [*scope, "email"]
+    rows = commits.select("sha", *keys, "seq", "authored_epoch", F.floor(F.col("seq") / block).alias("_block"))
+    inside = W.partitionBy(*keys, "_block").orderBy("seq")
+    rows = rows.withColumns({"_lag": F.lag("authored_epoch").over(inside), "_first": F.row_number().over(inside) == 1})
+    last = commits.groupBy(*keys, F.floor(F.col("seq") / block).alias("_block")).agg(F.max_by("authored_epoch", "seq").alias("_last"))
+    last = last.withColumn("_carried", F.lag("_last").over(W.partitionBy(*keys).orderBy("_block")))
+    same = [rows[k].eqNullSafe(last[k]) for k in [*keys, "_block"]]
+    return rows.join(last, same, "left").select("sha", F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")).alias("before"))
+
+
 def single_parent(raw: DataFrame, scope: Sequence[str] = ("repo",)) -> DataFrame:
     """Scored commits with what their header gives; merges and roots are dropped before the gap is taken.
 
     ``raw``: sha, seq, parents, author_email, committer_email, authored_epoch, committed_epoch,
-    message, signature and the scope columns; rows repeated by late delivery count once. A null
+    message, signature and the scope columns; rows repeated by late delivery count once, rows without a sha are left out. A null
     message counts as empty; a null ``parents`` is no single parent. The gap is to the author's
     commit before in walk order (``seq``, not time), absolute, null for the first.
     """
     cols = ["sha", *scope, "seq", "parents", "author_email", "committer_email", "authored_epoch", "committed_epoch", "message", "signature"]
-    one = raw.where(F.size("parents") == 1).select(*cols).dropDuplicates(["sha"])
+    email = C.clean_email(F.col("author_email"))
+    kept = raw.where((F.size("parents") == 1) & F.col("sha").isNotNull())
+    one = kept.select(*cols).dropDuplicates(["sha"]).withColumn("email", email)
+    # the gaps are found on a few narrow columns and joined to the wide rows by sha, by which these are partitioned
+    narrow = kept.select("sha", *scope, "seq", "authored_epoch", email.alias("email")).dropDuplicates(["sha"])
     ts = F.timestamp_seconds("authored_epoch")
     message = F.coalesce("message", F.lit(""))
-    email, committer = C.clean_email(F.col("author_email")), F.coalesce(F.nullif("committer_email", F.lit("")), F.lit("unknown"))
-    before = F.lag("authored_epoch").over(W.partitionBy(*scope, "email").orderBy("seq"))
-    return one.withColumn("email", email).select(
+    committer = F.coalesce(F.nullif("committer_email", F.lit("")), F.lit("unknown"))
+    return one.join(gaps(narrow, scope), "sha").select(
         "sha",
         *scope,
         "seq",
@@ -39,7 +61,7 @@ def single_parent(raw: DataFrame, scope: Sequence[str] = ("repo",)) -> DataFrame
         F.trim(message, F.lit(" \t\r\n\x0b\x0c")).alias("message"),
         F.col("signature").isNotNull().alias("gpg_signed"),
         C.differs(F.col("email"), committer).alias("author_committer_mismatch"),
-        F.abs(F.col("authored_epoch") - before).cast("double").alias("gap_seconds"),
+        F.abs(F.col("authored_epoch") - F.col("before")).cast("double").alias("gap_seconds"),
         C.delay_seconds(F.col("authored_epoch"), F.col("committed_epoch")).alias("commit_delay_seconds"),
     )
 

@@ -109,3 +109,17 @@ def test_rule_hits_of_added_lines(spark):
     changes = [(1, 1, "a", "a", False, False, "+Y\n+X\n-X", None), (1, 0, None, "b", True, False, "+X", None), (2, 0, "c", None, False, True, "+X", None), (3, 0, "d", "d", False, False, "-X\n X", None), (4, 0, "e", "e", False, False, None, None)]
     got = {r.seq: [(h.path, h.rule_id) for h in r.yara_hits] for r in extract.rule_hits(spark.createDataFrame(changes, CH), rules).collect()}
     assert got == {1: [("b", "one"), ("a", "one"), ("a", "two")]}
+
+
+def test_gaps_over_blocks(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(f"s{i}", r.choice(["r", "r", None]), r.choice(["hot", "hot", "hot", "b"]), i * 3, r.choice([None, r.randrange(9999), r.randrange(9999)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "sha string, repo string, email string, seq long, authored_epoch long").repartition(3)
+    want, last = {}, {}
+    for sha, repo, email, _, t in rows:
+        want[sha] = last.get((repo, email))
+        last[repo, email] = t
+    for block in (1, 7, 50, 10**6):
+        assert {x.sha: x.before for x in extract.gaps(df, ("repo",), block).collect()} == want
