@@ -91,7 +91,18 @@ def to_java(pattern: str) -> str:
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
             two = pattern[i : i + 2]
-            out.append(word if two == r"\b" and not in_class else inner if two == r"\B" and not in_class else two)
+            if two == r"\b" and not in_class:
+                # beside a letter that is always there, one side of the border is known
+                before, after = out[-1] if out else "", pattern[i + 2 : i + 4]
+                if re.match(r"[A-Za-z0-9_](?![?*{])", after):
+                    two = "(?<![A-Za-z0-9_])"
+                elif re.fullmatch(r"[A-Za-z0-9_]", before):
+                    two = "(?![A-Za-z0-9_])"
+                else:
+                    two = word
+            elif two == r"\B" and not in_class:
+                two = inner
+            out.append(two)
             i += 2
             continue
         if c == "[" and not in_class:

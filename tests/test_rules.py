@@ -33,6 +33,18 @@ def test_dialect(spark):
     assert one(spark, "[x]", ["any"], s=Text(r"[[\]]x"))
 
 
+def test_word_borders(spark):
+    import re
+
+    texts = ["ab", "xab", "ab1", "-ab-", "a", "b", "xb", "", "_ab", "ab_", "ab ba", "aab", "b-a", "é ab", "abb"]
+    patterns = [r"\bab", r"ab\b", r"\bab\b", r"\ba?b", r"\ba*b", r"a\b-", r"(?:a|b)\b", r"a{1,2}\b", r"\b[ab]", r"\w\b", r"\Bb", r"b\B", r"\b$", r"-\ba?"]
+    rules = [Rule(f"r{i:02}", ["any"], {"s": Text(p)}) for i, p in enumerate(patterns)]
+    found = hits(spark, rules, [("x", t) for t in texts])
+    for t, got in zip(texts, found):
+        want = [r.id for r, p in zip(rules, patterns) if t and re.search(p.replace("$", r"\Z"), t, re.A)]
+        assert got == want, t
+
+
 def test_conditions(spark):
     s = {"a1": Text("A"), "a2": Text("B"), "c": Text("C")}
     assert one(spark, "AB", ["of", 2], **s) and not one(spark, "A", ["of", 2], **s)
