@@ -51,7 +51,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of file types that stand together at least three times as often as chance would have it."""
     pairs = _filetype_pairs(spark, sf_dir)
     n_ab, n = F.col("n_ab"), F.col("n")
-    strong = (n_ab * 1000 >= n) & (n_ab * n >= 3 * F.col("n_a") * F.col("n_b"))
+    strong = (n_ab >= 5) & (n_ab * 1000 >= n) & (n_ab * n >= 3 * F.col("n_a") * F.col("n_b"))
     return pairs.where(strong).select(F.col("item_a").alias("filetype_a"), F.col("item_b").alias("filetype_b"))
 
 
@@ -64,12 +64,24 @@ FROM p JOIN m ma ON ma.t = ta JOIN m mb ON mb.t = tb WHERE n_ab >= 5
 """)
 def p5_filetype_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of file types in at least five commits, with counts and lift."""
-    return _filetype_pairs(spark, sf_dir).select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 4).alias("lift"))
+    return _filetype_pairs(spark, sf_dir).where("n_ab >= 5").select("item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 4).alias("lift"))
+
+
+@R.query("""
+WITH c AS (SELECT sha, any_value(list_filter(list_distinct(coalesce(filetypes, [])), lambda x: x IS NOT NULL)) AS t FROM commits WHERE sha IS NOT NULL GROUP BY sha),
+u AS (SELECT sha, unnest(t) AS t FROM c), m AS (SELECT t, count(*) AS n_x FROM u GROUP BY t),
+p AS (SELECT a.t AS ta, b.t AS tb, count(*) AS n_ab FROM u a JOIN u b ON a.sha = b.sha AND a.t < b.t GROUP BY ALL)
+SELECT ta AS item_a, tb AS item_b, n_ab, ma.n_x AS n_a, mb.n_x AS n_b, n_ab::DOUBLE * (SELECT count(*) FROM c) / (ma.n_x::DOUBLE * mb.n_x) AS lift
+FROM p JOIN m ma ON ma.t = ta JOIN m mb ON mb.t = tb
+""")
+def p5_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of different file types that stands in a commit at all, with counts and unrounded lift."""
+    return _filetype_pairs(spark, sf_dir).select("item_a", "item_b", "n_ab", "n_a", "n_b", "lift")
 
 
 def _filetype_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     baskets = distinct_commits(table(spark, sf_dir, "commits"), "filetypes")
-    return cooccurrence(baskets, "filetypes", min_count=5)
+    return cooccurrence(baskets, "filetypes")
 
 
 MAX_N = 2  # pairs of neighbouring terms are counted along with single terms

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gitsift.llm.cooccur import cooccurrence
 from gitsift.llm.ngrams import mark_terms, ngram_counts
 from gitsift.llm.quantiles import merge_sketches, percentiles, sketch
+from gitsift.llm.queries import R
 
 SAMPLES = [[1], [0, 0, 5], [-4.5, -1e-9, 0, 3, 1e12], list(range(1000)), [7] * 30 + [-7] * 31, [2.0**k for k in range(-40, 40)]]
 
@@ -64,6 +65,14 @@ def test_pairs(spark, baskets):
     assert {(r.item_a, r.item_b) for r in cooccurrence(df, "items", 2).collect()} == {k for k, v in want.items() if v[0] >= 2}
 
 
+def test_pairs_of_a_single_commit_come_out(spark, tmp_path):
+    rows = [("s1", ["py", "rs", "py"]), ("s1", ["py", "rs", "py"]), *[(f"t{i}", ["py", "js"]) for i in range(5)], ("u", None), (None, ["py", "go"])]
+    spark.createDataFrame(rows, "sha string, filetypes array<string>").write.parquet(str(tmp_path / "commits.parquet"))
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.lift) for r in R.queries["p5_all_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {("py", "rs"): (1, 6, 1, 7 / 6), ("js", "py"): (5, 5, 6, 5 * 7 / 30)}
+    assert [(r.item_a, r.item_b) for r in R.queries["p5_filetype_lift"](spark, str(tmp_path)).collect()] == [("js", "py")]
+
+
 def grams_by_hand(records, max_n):
     tf, df = Counter(), Counter()
     for r in records:
