@@ -97,8 +97,12 @@ def typosquats_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supply.first_typosquat(commits, table(spark, sf_dir, "popular"), HOSTS).select("sha", "typosquat.ecosystem", "typosquat.name", "typosquat.match")
 
 
-@R.query(rf"""WITH {COMMITS}, w AS (SELECT sha, list_filter(changed_deps, lambda d: regexp_matches(d.new_spec, '{C.DIRECT_URL}') AND NOT regexp_matches(d.old_spec, '{C.DIRECT_URL}'))[1] AS a,
-  list_filter(new_deps, lambda d: regexp_matches(d.spec, '{C.DIRECT_URL}'))[1] AS b FROM c)
+# Narrower than C.DIRECT_URL: specs in capitals or after white space, which the tables do not hold, are no URL in the SQL.
+_SQL_URL = r"^(?:https?://|git\+|git://|ssh://|[\w.-]+/[\w.-]+#)"
+
+
+@R.query(rf"""WITH {COMMITS}, w AS (SELECT sha, list_filter(changed_deps, lambda d: regexp_matches(d.new_spec, '{_SQL_URL}') AND NOT regexp_matches(d.old_spec, '{_SQL_URL}'))[1] AS a,
+  list_filter(new_deps, lambda d: regexp_matches(d.spec, '{_SQL_URL}'))[1] AS b FROM c)
 SELECT sha, CASE WHEN a IS NOT NULL THEN 'changed' ELSE 'new' END AS kind, coalesce(a.ecosystem, b.ecosystem) AS ecosystem, coalesce(a.name, b.name) AS name, coalesce(a.new_spec, b.spec) AS spec FROM w WHERE a IS NOT NULL OR b IS NOT NULL""")
 def direct_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commits whose dependencies point at a direct URL."""

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ def test_direct_url(spark):
     assert col(spark, xs, C.is_direct_url) == [True, True, True, False, False, False]
 
 
+def test_direct_url_in_any_case_and_indented(spark):
+    reference = re.compile(r"^\s*(https?://|git\+|git://|ssh://|[\w.-]+/[\w.-]+#)", re.IGNORECASE)
+    yes = ["HTTPS://x", "Http://x", "Git+https://x", "GIT://x", "Ssh://x", " https://x", "\t\n git+ssh://a", "\u00a0\u3000https://x", "\x1c\x85ssh://x", "  Owner/Repo#main", "besitzer/größe²#1", "httpſ://x"]
+    no = ["", " ", " ^1.2.3", "see HTTPS://x", "FTP://x", "a b/c#d", "\u200bhttps://x", "o\u0301/x#1"]
+    assert [bool(reference.match(x)) for x in yes + no] == [True] * len(yes) + [False] * len(no)
+    assert col(spark, yes + no, C.is_direct_url) == [True] * len(yes) + [False] * len(no)
+
+
 @pytest.mark.parametrize(
     "base,line,want",
     [

@@ -55,6 +55,14 @@ def test_direct_url_order(spark):
     assert (got[0].kind, got[0].name, got[1].kind, got[1].name) == ("changed", "b", "new", "a") and got[2:] == [None, None]
 
 
+def test_a_url_in_another_spelling_is_no_switch(spark):
+    changed = "array<struct<ecosystem:string,name:string,old_spec:string,new_spec:string>>"
+    rows = [([("npm", "a", " HTTPS://x", "https://x")],), ([("npm", "a", "1", " Git+https://x")],)]
+    df = spark.createDataFrame(rows, f"changed_deps {changed}").withColumn("new_deps", F.expr("cast(null as array<struct<ecosystem:string,name:string,spec:string>>)"))
+    got = [r[0] for r in df.select(supply.direct_url_change()).collect()]
+    assert got[0] is None and (got[1].kind, got[1].spec) == ("changed", " Git+https://x")
+
+
 def test_domain_age(spark):
     row = spark.range(1).select(supply.domain_age_days(F.lit("2024-01-01 12:00:00").cast("timestamp"), F.lit("2024-03-31 11:00:00").cast("timestamp")), supply.domain_age_days(F.lit(None).cast("timestamp"), F.current_timestamp())).first()
     assert tuple(row) == (89, None)
