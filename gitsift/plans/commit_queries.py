@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -141,10 +142,11 @@ def rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query()
 def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of the built-in rules in all documents, each taken as an added file."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("web/package.json").alias("path"), "text")
+    """Hits of the built-in rules in all documents: every rule, whatever paths it is for, over the whole text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("document").alias("path"), "text")
     hits = F.explode_outer("yara_hits").alias("h")  # no filter on the array is inferred, so the patterns run once
-    return scan(d, BASIC).select("doc_id", hits).where(F.col("h").isNotNull()).select("doc_id", "h.rule_id", "h.severity")
+    rules = [replace(r, include=()) for r in BASIC]
+    return scan(d, rules, max_bytes=None).select("doc_id", hits).where(F.col("h").isNotNull()).select("doc_id", "h.rule_id", "h.severity")
 
 
 @R.query(f"""WITH {COMMITS}, y AS (SELECT sha, unnest(yara_hits) AS h FROM (SELECT sha, any_value(yara_hits) AS yara_hits FROM commits WHERE sha IS NOT NULL GROUP BY sha))

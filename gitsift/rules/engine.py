@@ -209,16 +209,17 @@ def path_excluded(path: Column) -> Column:
     return F.arrays_overlap(dirs, F.array(*[F.lit(d) for d in EXCLUDED_DIRS]))
 
 
-def scanned_part(text: Column) -> Column:
-    """The first SCAN_BYTES bytes of the text in UTF-8, one character for each byte, as rules match bytes."""
-    return F.decode(F.substring(F.encode(text, "utf-8"), 1, SCAN_BYTES), "ISO-8859-1")
+def scanned_part(text: Column, max_bytes: int | None = SCAN_BYTES) -> Column:
+    """The first ``max_bytes`` bytes (None: all) of the text in UTF-8, one character for each byte, as rules match bytes."""
+    data = F.encode(text, "utf-8")
+    return F.decode(data if max_bytes is None else F.substring(data, 1, max_bytes), "ISO-8859-1")
 
 
-def scan(files: DataFrame, rules: Sequence[Rule], path: str = "path", text: str = "text") -> DataFrame:
+def scan(files: DataFrame, rules: Sequence[Rule], path: str = "path", text: str = "text", max_bytes: int | None = SCAN_BYTES) -> DataFrame:
     """Add ``yara_hits``: array of (path, rule_id, description, severity) in rule order.
 
     Files in excluded directories, and null or empty paths and texts, have an empty array. A rule without a description is
-    described by its id. Private rules only serve others.
+    described by its id. Private rules only serve others. Of each text the first ``max_bytes`` bytes are scanned, None: all.
     """
     by_id = {r.id: r for r in rules}
     p, t = F.col(path), F.col("_scan")
@@ -228,7 +229,7 @@ def scan(files: DataFrame, rules: Sequence[Rule], path: str = "path", text: str
     hits = [F.when(F.when(path_matches(p, r.include), _truth(r, r.condition, t, by_id)).otherwise(False), hit(r)) for r in rules if not r.private]
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
     shaped = "array<struct<path:string,rule_id:string,description:string,severity:string>>"
-    return files.withColumn("_scan", scanned_part(F.col(text))).withColumn("yara_hits", F.when(eligible, found).otherwise(F.array().cast(shaped))).drop("_scan")
+    return files.withColumn("_scan", scanned_part(F.col(text), max_bytes)).withColumn("yara_hits", F.when(eligible, found).otherwise(F.array().cast(shaped))).drop("_scan")
 
 
 def load_rules(folder: str) -> list[Rule]:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gitsift.plans.commit_queries import rule_scan
 from gitsift.rules.basic import BASIC
 from gitsift.rules.engine import SCAN_BYTES, Rule, Text, load_rules, path_excluded, path_matches, scan
 
@@ -81,6 +82,22 @@ def test_edges(spark):
     assert scan(none, rules).count() == 0
 
 
+def test_documents_are_scanned_by_all_rules_and_whole(spark, tmp_path):
+    texts = {
+        "download_and_run": "os.system(x); requests.get(y)",
+        "deletes_files": "rm -rf /x",
+        "reads_secrets": "a" * SCAN_BYTES + " ~/.ssh/id_rsa",
+        "enumerates_host": "os.uname platform.node",
+        "install_hook": '"postinstall": "x"',
+        "hex_escapes": r"\x41" * 20,
+        "string_glue": "eval(x)",
+    }
+    rows = [(i, t) for i, t in enumerate(texts.values())] + [(90, None), (91, ""), (92, "plain")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.rule_id) for r in rule_scan(spark, str(tmp_path)).collect()}
+    assert {(i, k) for i, k in enumerate(texts)} <= got and {k for _, k in got} == {*texts, "downloads"} and max(i for i, _ in got) < 90
+
+
 def test_load(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps([{"id": "two", "condition": ["any"], "strings": {"s": {"pattern": "y"}}}]))
     (tmp_path / "a.json").write_text(json.dumps([{"id": "one", "condition": ["any"], "strings": {"s": {"pattern": "Y", "kind": "text", "nocase": True}}, "include": ["*.py"], "severity": "low"}]))
