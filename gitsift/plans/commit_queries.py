@@ -16,7 +16,7 @@ from gitsift.plans.profile_queries import C as COMMITS
 from gitsift.plans.profile_queries import LONG, _commits, _fits
 from gitsift.plans.registry import Registry
 from gitsift.rules.basic import BASIC
-from gitsift.rules.engine import EXCLUDED_DIRS, path_excluded, path_matches, scan
+from gitsift.rules.engine import EXCLUDED_DIRS, Rule, Text, number, path_excluded, path_matches, scan, truth
 from gitsift.session import scratch_path, table
 from gitsift.sources import files
 from gitsift.streaming import scorer
@@ -130,13 +130,11 @@ def message_and_bot(spark: SparkSession, sf_dir: str) -> DataFrame:
   len(regexp_extract_all(text, '\braise\s+\w+Error\(')) AS n_raises, (regexp_matches(text, '"\^\d+\.\d+\.\d+"')::INT + contains(text, '+++ b/')::INT + regexp_matches(text, 'load_\w+\(')::INT) >= 2 AS two_of FROM documents WHERE text IS NOT NULL""")
 def rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions of the rule language over documents: all, a count, two of three."""
-    from gitsift.rules.engine import Rule, Text, _number, _truth
-
     strings = {"a": Text(r"\braise\s+\w+Error\("), "b": Text(r'"\^\d+\.\d+\.\d+"'), "c": Text("+++ b/", "text"), "d": Text(r"load_\w+\(")}
     rule = Rule("r", [], strings)
     t = F.col("text")
     return table(spark, sf_dir, "documents").where("text is not null").select(
-        "doc_id", _truth(rule, ["all", "a", "b"], t, {}).alias("both_found"), _number(rule, ["count", "a"], t).cast("long").alias("n_raises"), _truth(rule, ["of", 2, "b", "c", "d"], t, {}).alias("two_of")
+        "doc_id", truth(rule, ["all", "a", "b"], t, {}).alias("both_found"), number(rule, ["count", "a"], t).cast("long").alias("n_raises"), truth(rule, ["of", 2, "b", "c", "d"], t, {}).alias("two_of")
     )
 
 

@@ -30,7 +30,13 @@ BASIC = [
     ),
     Rule("hex_escapes", ["ge", ["count", "s0"], 20], _t(r"\\x[0-9a-fA-F]{2}"), description="Long runs of escaped bytes", severity="medium", include=(*PY, *JS)),
     Rule("string_glue", ["or", ["ge", ["count", "s0"], 20], ["and", ["any", "s1"], ["not", ["any", "s2"]]]], _t(r'"\s*\+\s*"', r"\beval\s*\(", r"\bast\.literal_eval\b"), description="Code put together from strings", severity="low", include=(*PY, *JS)),
-    Rule("mixed_scripts", ["any"], _t(r"[A-Za-z][\xd0\xd1][\x80-\xbf]", r"[\xd0\xd1][\x80-\xbf][A-Za-z]", r"[A-Za-z][\xce\xcf][\x80-\xbf]", r"[A-Za-z]\xe2\x80[\x8b-\x8d]"), description="Letters of several scripts in one word", severity="medium"),
+    Rule(
+        "mixed_scripts",
+        ["any"],
+        {f"{a}_{b}": Text(rf"\p{{Is{a}}}\p{{Is{b}}}", "unicode") for a, b in (("Latin", "Cyrillic"), ("Cyrillic", "Latin"), ("Latin", "Greek"), ("Greek", "Latin"))},
+        description="Letters of two scripts side by side",
+        severity="medium",
+    ),
     Rule("raises_errors", ["ge", ["count"], 2], _t(r"\braise\s+\w+Error\("), description="Raises several errors", severity="low"),
     Rule("versions_pinned", ["of", 2], {"a": Text(r'"\^\d+\.\d+\.\d+"'), "b": Text("+++ b/", "text"), "c": Text(r"^@@ -\d+")}, description="Touches pinned versions", severity="low"),
 ]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 SCAN_BYTES = 200_000  # of the added text of a file, the part that is scanned
 # Fixed value: directories whose files are not scanned.
-EXCLUDED_DIRS = "helm .idea venv test tests .env dist build migrations .github".split()
+EXCLUDED_DIRS = ["helm", ".idea", "venv", "test", "tests", ".env", "dist", "build", "migrations", ".github"]
 SEVERITIES = ("critical", "high", "medium", "low")
 
 
@@ -28,7 +28,8 @@ class Text:
     """One string of a rule, matched on the bytes of the text.
 
     kind: ``text``; ``regex`` (dot excludes only the line feed, ^ and $ are the ends of the data, word characters are ASCII, \\x80
-    to \\xff are bytes of UTF-8); ``hex`` (bytes in hexadecimal, ?? for any, [2-12] for a gap).
+    to \\xff are bytes of UTF-8); ``hex`` (bytes in hexadecimal, ?? for any, [2-12] for a gap); ``unicode`` (Java's regular expression on the
+    decoded characters, in ``any``, ``all`` and ``of`` only).
     """
 
     pattern: str
@@ -48,10 +49,14 @@ class Text:
             p = as_bytes(self.pattern)
             # lower() would also change bytes beyond ASCII, so only the letters A to Z are folded
             return F.translate(text, UPPER, UPPER.lower()).contains(p.translate(FOLD)) if self.nocase else text.contains(p)
+        if self.kind == "unicode":  # a cast does not fail on a character that the byte limit cuts
+            return text.rlike(r"[\x80-\xff]") & F.encode(text, "ISO-8859-1").cast("string").rlike(("(?iu)" if self.nocase else "") + self.pattern)
         return text.rlike(self.flags() + self.body())
 
     def count(self, text: Column) -> Column:
         """Matches at every start, overlapping ones too."""
+        if self.kind == "unicode":
+            raise ValueError("strings of kind unicode are not counted")
         return F.regexp_count(text, F.lit(f"{self.flags()}(?=(?:{self.body()}))"))
 
 
@@ -149,18 +154,20 @@ class Rule:
         return out
 
 
-def _number(rule: Rule, x, text: Column) -> Column:
+def number(rule: Rule, x, text: Column) -> Column:
+    """Column of a number, count or sum of a condition over ``text``."""
     if isinstance(x, int):
         return F.lit(x)
     op, *args = x
     if op == "count":
         return reduce(lambda a, b: a + b, [rule.strings[n].count(text) for n in rule.names(args)])
     if op == "add":
-        return reduce(lambda a, b: a + b, [_number(rule, a, text) for a in args])
+        return reduce(lambda a, b: a + b, [number(rule, a, text) for a in args])
     raise ValueError(f"rule {rule.id}: {op} gives no number")
 
 
-def _truth(rule: Rule, x, text: Column, rules: dict[str, Rule], seen: tuple[str, ...] = ()) -> Column:
+def truth(rule: Rule, x, text: Column, rules: dict[str, Rule], seen: tuple[str, ...] = ()) -> Column:
+    """Column of the truth of a condition over ``text``; ``rules`` are those it may refer to."""
     op, *args = x
     found = lambda picks: [rule.strings[n].found(text) for n in rule.names(picks)]
     if op == "any":
@@ -170,26 +177,32 @@ def _truth(rule: Rule, x, text: Column, rules: dict[str, Rule], seen: tuple[str,
     if op == "of":
         return reduce(lambda a, b: a + b, [f.cast("int") for f in found(args[1:])]) >= args[0]
     if op in ("and", "or"):
-        parts = [_truth(rule, a, text, rules, seen) for a in args]
+        parts = [truth(rule, a, text, rules, seen) for a in args]
         return reduce((lambda a, b: a & b) if op == "and" else (lambda a, b: a | b), parts)
     if op == "not":
-        return ~_truth(rule, args[0], text, rules, seen)
+        return ~truth(rule, args[0], text, rules, seen)
     if op == "rule":
         if args[0] in seen:
             raise ValueError(f"rules refer to each other: {args[0]}")
         other = rules[args[0]]
-        return _truth(other, other.condition, text, rules, (*seen, args[0]))
+        return truth(other, other.condition, text, rules, (*seen, args[0]))
     if op in ("ge", "gt", "le", "lt"):
-        a, b = (_number(rule, v, text) for v in args)
+        a, b = (number(rule, v, text) for v in args)
         return {"ge": a >= b, "gt": a > b, "le": a <= b, "lt": a < b}[op]
     raise ValueError(f"rule {rule.id}: unknown operator {op}")
 
 
 def glob_regex(glob: str) -> str:
-    """A shell pattern as an anchored regular expression; * also crosses slashes."""
+    """A shell pattern as an anchored regular expression: ``*`` also crosses slashes, ``[abc]``, ``[a-c]`` and ``[!abc]`` are classes of
+    characters; a bracket that is never closed stands for itself."""
     out = []
-    for c in glob.strip():
-        out.append(".*" if c == "*" else "." if c == "?" else re.escape(c))
+    for part in re.findall(r"\[!?\]?[^\]]*\]|.", glob.strip(), re.S):
+        if len(part) > 2 and part[0] == "[":
+            negated = part[1] == "!"
+            inner = re.sub(r"([\\\[\]&^])", r"\\\1", part[2:-1] if negated else part[1:-1])
+            out.append(f"[{'^' if negated else ''}{inner}]")
+        else:
+            out.append(".*" if part == "*" else "." if part == "?" else re.escape(part))
     return r"(?s)\A" + "".join(out) + r"\z"
 
 
@@ -226,7 +239,7 @@ def scan(files: DataFrame, rules: Sequence[Rule], path: str = "path", text: str
     eligible = F.coalesce((p != "") & (F.length(text) > 0) & ~path_excluded(p), F.lit(False))
     hit = lambda r: F.struct(p.alias("path"), F.lit(r.id).alias("rule_id"), F.lit(r.description or r.id).alias("description"), F.lit(r.severity).alias("severity"))
     # the path is tested first: the costly patterns run only where the rule applies
-    hits = [F.when(F.when(path_matches(p, r.include), _truth(r, r.condition, t, by_id)).otherwise(False), hit(r)) for r in rules if not r.private]
+    hits = [F.when(F.when(path_matches(p, r.include), truth(r, r.condition, t, by_id)).otherwise(False), hit(r)) for r in rules if not r.private]
     found = F.filter(F.array(*hits), lambda h: h.isNotNull())
     shaped = "array<struct<path:string,rule_id:string,description:string,severity:string>>"
     return files.withColumn("_scan", scanned_part(F.col(text), max_bytes)).withColumn("yara_hits", F.when(eligible, found).otherwise(F.array().cast(shaped))).drop("_scan")

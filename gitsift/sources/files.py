@@ -40,11 +40,21 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def report_lines(results: DataFrame) -> DataFrame:
-    """One line per flagged commit, latest first within its repository: score, sha, author, first three reasons."""
-    flagged = results.where(F.col("decision") == "Unusual")
-    told = F.array_join(F.slice("top_reasons_explained", 1, 3), "; ")
-    line = F.format_string("%.3f  %s  %s  %s", F.col("decision_val"), F.col("sha"), F.rpad("email", 30, " "), told)
-    return flagged.orderBy("repo", F.desc("seq")).select("repo", line.alias("line"))
+    """The report as lines, in order: per repository a line of totals, then per flagged commit, latest first, a line with short sha,
+    author (padded to 30 characters, never cut) and score, and one line for each of its first three reasons.
+
+    A repository without flagged commits has its line of totals only; no results: no lines.
+    """
+    flagged = F.col("decision") == "Unusual"
+    head = flagged_counts(results).select(
+        "repo", F.lit(None).cast("long").alias("seq"), F.lit(0).alias("ord"),
+        F.format_string("%s: %d commits scored, %d flagged Unusual", "repo", "scored", "flagged").alias("line"),
+    )
+    email = F.concat("email", F.repeat(F.lit(" "), F.greatest(F.lit(30) - F.length("email"), F.lit(0))))
+    first = F.format_string("  %s  %s score=%.3f", F.col("sha"), email, F.col("decision_val"))
+    told = F.transform(F.slice("top_reasons_explained", 1, 3), lambda r: F.concat(F.lit("      - "), r))
+    body = results.where(flagged).select("repo", "seq", F.posexplode(F.concat(F.array(first), told)).alias("ord", "line"))
+    return head.unionByName(body).orderBy("repo", F.col("seq").desc_nulls_first(), "ord").select("repo", "line")
 
 
 def flagged_counts(results: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:

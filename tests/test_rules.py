@@ -34,6 +34,15 @@ def test_dialect(spark):
     assert one(spark, "[x]", ["any"], s=Text(r"[[\]]x"))
 
 
+def test_decoded_characters(spark):
+    s = Text(r"\p{IsLatin}\p{IsCyrillic}", "unicode")
+    assert one(spark, "pаypal", ["any"], s=s) and not one(spark, "plain", ["any"], s=s) and not one(spark, "а b", ["any"], s=s) and one(spark, "é" + "bж", ["any"], s=s)
+    cut = scan(spark.createDataFrame([("f", "xж" + "é" * 9)], "path string, text string"), [Rule("r", ["any"], {"s": s})], max_bytes=4).first()  # ends inside a character
+    assert len(cut.yara_hits) == 1
+    with pytest.raises(ValueError):
+        one(spark, "x", ["ge", ["count"], 1], s=s)
+
+
 def test_word_borders(spark):
     import re
 
@@ -70,6 +79,10 @@ def test_paths(spark):
     assert ask(["*/package.json"]) == [False, True, False, False]  # a pattern with a slash never meets a root file
     assert ask(["package.json"]) == [True, True, False, False]
     assert ask(["a*.py"]) == [False, False, True, False] and ask(["*.py"]) == [False, False, True, True] and ask([]) == [True] * 4
+    df = spark.createDataFrame([(p,) for p in ["a1.py", "ab.py", "a-.py", "a[.py", "a^.py"]], "p string").coalesce(1)
+    ask = lambda globs: [r[0] for r in df.select(path_matches(F.col("p"), globs)).collect()]
+    assert ask(["a[0-9].py"]) == [True, False, False, False, False] and ask(["a[!0-9].py"]) == [False, True, True, True, True]
+    assert ask(["a[[].py"]) == [False, False, False, True, False] and ask(["a[.py"]) == [False, False, False, True, False] and ask(["a[b^-].py"]) == [False, True, True, False, True]
     df = spark.createDataFrame([(p,) for p in ["tests/a.py", "a/Tests/b", "tests", "x/test", "src/a"]], "p string").coalesce(1)
     assert [r[0] for r in df.select(path_excluded(F.col("p"))).collect()] == [True, True, False, False, False]
 

@@ -17,7 +17,11 @@ def test_tsv_and_report(spark, tmp_path):
     back = {r.sha: r for r in spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "out")).collect()}
     assert back["aaaaaaa"].top_reasons == "x | y" and back["bbbbbbb"].top_reasons_explained == "t\tab" and len(back) == 3
     lines = [r.line for r in files.report_lines(df).collect()]
-    assert lines == ["0.988  aaaaaaa  " + "a@b".ljust(30) + "  one; two; three", "1.000  ccccccc  " + "e@f".ljust(30) + "  "]
+    r_lines = ["r: 2 commits scored, 1 flagged Unusual", "  aaaaaaa  " + "a@b".ljust(30) + " score=0.988", "      - one", "      - two", "      - three"]
+    assert lines == [*r_lines, "s: 1 commits scored, 1 flagged Unusual", "  ccccccc  " + "e@f".ljust(30) + " score=1.000"]
+    long = df.withColumn("email", F.lit("a" * 40))
+    assert [r.line for r in files.report_lines(long).collect()][1] == "  aaaaaaa  " + "a" * 40 + " score=0.988"
+    assert files.report_lines(df.where("false")).count() == 0
     assert {(r.repo, r.scored, r.flagged) for r in files.flagged_counts(df).collect()} == {("r", 2, 1), ("s", 1, 1)}
 
 
@@ -60,6 +64,46 @@ def test_repository(spark, tmp_path):
         spark.read.format("gitlog").option("repos", str(tmp_path / "none")).load().collect()
 
 
+@pytest.mark.skipif(not shutil.which("git"), reason="needs git")
+def test_moves_and_signatures(spark, tmp_path):
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    run = lambda *a, **k: subprocess.run(["git", "-C", str(repo), "-c", "user.name=n", "-c", "user.email=a@b.example", *a], check=True, capture_output=True, **k).stdout.decode()
+    run("init", "-q")
+    body = "".join(f"line {k}\n" for k in range(50))
+    steps = [("a.txt", body), ("gone.bin", "\x7fELF...."), ("odd \" näme.txt", "+++ x\n--- y\n" + "0" * 40 + "\n")]
+    for name, content in steps:
+        (repo / name).write_text(content)
+        run("add", "-A")
+        run("commit", "-q", "-m", f"add {name}")
+    (repo / "sub").mkdir()
+    run("mv", "a.txt", "sub/b.txt")
+    (repo / "sub/b.txt").write_text(body + "more\n")
+    run("rm", "-q", "gone.bin")
+    run("add", "-A")
+    run("commit", "-q", "-m", "move")
+    raw = run("cat-file", "commit", "HEAD")
+    head, _, message = raw.partition("\n\n")
+    signed = head.replace("tree ", "tree ", 1) + "\ngpgsig -----BEGIN PGP SIGNATURE-----\n \n AAAA\n -----END PGP SIGNATURE-----\n\n" + message
+    parent = run("rev-parse", "HEAD").strip()
+    signed = signed.replace(next(x for x in head.split("\n") if x.startswith("parent ")), f"parent {parent}")
+    run("reset", "-q", "--hard", run("hash-object", "-t", "commit", "-w", "--stdin", input=signed.encode()).strip())
+    gitlog.register(spark)
+    read = lambda part, n=2: spark.read.format("gitlog").option("repos", str(repo)).option("part", part).option("commits_per_partition", n).load().orderBy("seq")
+    commits = read("commits").collect()
+    assert [r.seq for r in commits] == [0, 1, 2, 3, 4] and [r.signature is not None for r in commits] == [False] * 4 + [True]
+    assert commits[4].parents == [commits[3].sha] and commits[4].message == "move\n" and commits[0].parents == [] and commits[1].author_email == "a@b.example"
+    changes = {(r.seq, r.b_path or r.a_path): r for r in read("changes").collect()}
+    assert set(changes) == {(1, "gone.bin"), (2, "odd \" näme.txt"), (3, "gone.bin"), (3, "sub/b.txt")}
+    moved = changes[3, "sub/b.txt"]
+    assert (moved.a_path, moved.is_new, moved.is_deleted) == ("a.txt", False, False) and moved.patch.count("\n+") - moved.patch.count("\n+++") == 1
+    assert changes[3, "gone.bin"].is_deleted and bytes(changes[1, "gone.bin"].header) == b"\x7fELF" and "+" + "0" * 40 in changes[2, "odd \" näme.txt"].patch
+    from gitsift.operators.extract import extract_commits
+
+    got = {r.seq: r for r in extract_commits(read("commits"), read("changes", 100)).collect()}
+    assert (got[3].loc_added, got[3].loc_removed, got[3].files_changed, got[3].files_added, got[3].files_removed) == (1, 1, 2, 0, 1) and got[4].gpg_signed and not got[3].gpg_signed
+
+
 def test_stream_counts(spark, tmp_path):
     from gitsift.streaming.scorer import daily_activity, read_stream
 
