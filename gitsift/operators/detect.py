@@ -35,12 +35,11 @@ def is_bot(email: Column) -> Column:
     return F.lower(email).contains("[bot]")
 
 
-def score_types(rows: DataFrame, commits: DataFrame, established: DataFrame) -> DataFrame:
+def score_types(rows: DataFrame, repo_stats: DataFrame, author_stats: DataFrame) -> DataFrame:
     """Per scored ``sha``: mean share, frequency, pair frequency and pair ratio of its types, repository-wide (g) and by author (a), and the rarest type or pair of each.
 
-    ``established``: (repo, email) of authors with a profile. Defaults where there is nothing to average: 100, 1, 1, 1.
+    ``repo_stats``, ``author_stats``: from :func:`profiles.type_statistics`, stored, as they are read several times. Defaults where there is nothing to average: 100, 1, 1, 1.
     """
-    own = commits.join(established, list(AUTHOR), "left_semi")
     cells = rows.select("sha", *AUTHOR, P.type_counts().alias("types"))
     t = cells.select("sha", *AUTHOR, F.explode("types").alias("x")).select("sha", *AUTHOR, F.col("x.t").alias("filetype"), F.col("x.place").alias("ord"))
     p = cells.select("sha", *AUTHOR, F.posexplode(P.type_pairs()).alias("ord", "x")).select("sha", *AUTHOR, "ord", "x.a", "x.b", "x.ratio")
@@ -53,7 +52,7 @@ def score_types(rows: DataFrame, commits: DataFrame, established: DataFrame) ->
         return joined.groupBy("sha").agg(*aggs)
 
     out = rows.select("sha")
-    for keys, stats, s in ((["repo"], commits, "g"), (list(AUTHOR), own, "a")):
+    for keys, stats, s in ((["repo"], repo_stats, "g"), (list(AUTHOR), author_stats, "a")):
         one = t.join(P.type_shares(stats, keys).select(*keys, "filetype", "pct", "freq"), [*keys, "filetype"], "left")
         out = out.join(means(one, F.col("filetype"), {f"pct_{s}": F.coalesce("pct", S.num(0)), f"freq_{s}": F.coalesce("freq", S.num(0))}), "sha", "left")
         two = p.join(P.pair_shares(stats, keys), [*keys, "a", "b"], "left")
@@ -74,19 +73,21 @@ def signals(commits: DataFrame, popular: DataFrame | None = None, disposable: Da
     counts = narrow.groupBy(*AUTHOR).agg(F.count(F.lit(1)).alias("author_commits"))
     scored_authors = rows.where(~is_bot(F.col("email"))).select(*AUTHOR).distinct()
     established = stage(counts.where(F.col("author_commits") > S.ESTABLISHED).join(scored_authors, list(AUTHOR), "left_semi").select(*AUTHOR), "established")
-    own = narrow.join(established, list(AUTHOR), "left_semi")
+    own = stage(P.of_authors(narrow, established, AUTHOR), "own-commits")
     touched = rows.select("sha", *AUTHOR, F.explode(F.array_distinct("top_dirs")).alias("top_dir"))
     # results of a row per repository, author or scored commit are stored, so that each plan stays small
     parts = {
         "fits": P.wide_fits(P.tail_fits(P.metric_values(narrow, ["repo"]), ["repo", "metric"]), ["repo"], "g"),
         "author_fits": P.wide_fits(P.tail_fits(P.metric_values(own, AUTHOR), [*AUTHOR, "metric"]), AUTHOR, "a"),
         "profiles": P.author_profiles(own),
-        "types": score_types(rows, narrow, established),
+        "repo_types": P.type_statistics(narrow, ["repo"]),
+        "author_types": P.type_statistics(own, AUTHOR),
         "directories": touched.join(P.directory_counts(own), [*AUTHOR, "top_dir"], "left").groupBy("sha").agg(F.min(F.coalesce("n", F.lit(0))).alias("least_dir")),
     }
     if popular is not None:
         parts["typosquats"] = supply.first_typosquat(rows, popular, hosts)
     part = stage_all(parts)
+    part["types"] = stage(score_types(rows, part["repo_types"], part["author_types"]), "types")
     r = rows.join(established.withColumn("established", F.lit(True)), list(AUTHOR), "left").withColumn("established", F.coalesce("established", F.lit(False)))
     r = r.join(part["fits"], "repo", "left")
     for name in ("author_fits", "profiles"):

@@ -77,10 +77,22 @@ def wide_fits(fits: DataFrame, keys: Sequence[str], suffix: str) -> DataFrame:
 def without_last(commits: DataFrame, keys: Sequence[str] = ("repo", "email")) -> DataFrame:
     """All commits of an author but the last in walk order, unless it is the only one.
 
-    The last one is found by an aggregate with map-side combining; no author's commits are gathered.
+    The last one is found by an aggregate with map-side combining, one row per author. It is taken out by its place in the
+    walk as well as its author, so the rows are spread by commit and an author with very many stays spread.
     """
-    last = commits.groupBy(*keys).agg(F.max("seq").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    return commits.join(last, list(keys)).where((F.col("_n") == 1) | (F.col("seq") != F.col("_last"))).drop("_last", "_n")
+    last = commits.groupBy(*keys).agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys, "seq")
+    return commits.join(last, [*keys, "seq"], "left_anti")
+
+
+def of_authors(commits: DataFrame, authors: DataFrame, keys: Sequence[str] = ("repo", "email"), parts: int = 32) -> DataFrame:
+    """Commits whose ``keys`` are among ``authors`` (one row per author).
+
+    Where the authors are too many to be broadcast by their measured size, both sides are shuffled by author and one of ``parts`` hash
+    parts of the commits, so a frequent author's commits are spread; an aggregate by author on top combines before its own shuffle.
+    """
+    part = F.pmod(F.xxhash64("sha"), F.lit(parts)).cast("int")
+    each = authors.select(*keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return commits.withColumn("_part", part).join(each, [*keys, "_part"], "left_semi").drop("_part")
 
 
 def author_profiles(commits: DataFrame, keys: Sequence[str] = ("repo", "email")) -> DataFrame:
@@ -120,24 +132,40 @@ def type_pairs(counts: str = "types"):
     return F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.greatest(F.size(c), F.lit(1))), lambda y: pair(x, y))))
 
 
-def type_shares(commits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key and type: ``pct`` of all file changes, ``n_commits`` that touch it, ``freq`` = share of all commits.
+def type_statistics(commits: DataFrame, keys: Sequence[str], pairs: bool = True) -> DataFrame:
+    """Per key, counts of commits, of their types and (with ``pairs``) of their pairs of types, from one aggregate with map-side combining.
+
+    Columns: keys, ``a``, ``b`` (both null: the key as a whole; b null: a type), ``n`` commits, ``n_files`` file changes of a type,
+    ``mean`` and ``sd`` (sample deviation) of the log ratio of a pair's counts.
+    """
+    kind = "struct<a:string,b:string,c:int,ratio:double>"
+    null = lambda t: F.lit(None).cast(t)
+    whole = F.array(F.struct(null("string").alias("a"), null("string").alias("b"), null("int").alias("c"), null("double").alias("ratio")))
+    one = F.transform("types", lambda x: F.struct(x["t"].alias("a"), null("string").alias("b"), x["c"].alias("c"), null("double").alias("ratio")))
+    two = [F.transform(type_pairs(), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), null("int").alias("c"), p["ratio"].alias("ratio")))] if pairs else []
+    rows = commits.select(*keys, type_counts().alias("types"))
+    x = rows.select(*keys, F.explode(F.concat(whole.cast(f"array<{kind}>"), *[x.cast(f"array<{kind}>") for x in (one, *two)])).alias("x"))
+    return x.groupBy(*keys, F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x.c").alias("n_files"), F.avg("x.ratio").alias("mean"), F.stddev_samp("x.ratio").alias("sd")
+    )
+
+
+def _with_total(stats: DataFrame, which: str, keys: Sequence[str]) -> DataFrame:
+    totals = stats.where("a is null").select(*keys, F.col("n").alias("_commits"))
+    return stats.where(which).join(totals, list(keys))
+
+
+def type_shares(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """From :func:`type_statistics`, per key and type: ``pct`` of all file changes, ``n_commits`` that touch it, ``freq`` = share of all commits.
 
-    The windows run over the types of a key.
+    The window runs over the types of a key.
     """
-    totals = commits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_commits"))
-    t = commits.select(*keys, F.explode(type_counts()).alias("x")).groupBy(*keys, F.col("x.t").alias("filetype"))
-    t = t.agg(F.sum("x.c").alias("n_files"), F.count(F.lit(1)).alias("n_commits"))
     all_files = F.sum("n_files").over(W.partitionBy(*keys))
-    return t.withColumn("pct", F.col("n_files") * 100.0 / all_files).join(totals, list(keys)).select(
-        *keys, "filetype", "n_files", "n_commits", "pct", (F.col("n_commits") / F.col("_commits")).alias("freq")
+    return _with_total(stats, "a is not null and b is null", keys).select(
+        *keys, F.col("a").alias("filetype"), "n_files", F.col("n").alias("n_commits"), (F.col("n_files") * 100.0 / all_files).alias("pct"), (F.col("n") / F.col("_commits")).alias("freq")
     )
 
 
-def pair_shares(commits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key and pair of types: ``n`` commits with both, ``freq``, and mean and sample deviation of the log ratio of their counts."""
-    totals = commits.groupBy(*keys).agg(F.count(F.lit(1)).alias("_commits"))
-    p = commits.withColumn("types", type_counts()).select(*keys, F.explode(type_pairs()).alias("p"))
-    p = p.groupBy(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    p = p.agg(F.count(F.lit(1)).alias("n"), F.avg("p.ratio").alias("mean"), F.stddev_samp("p.ratio").alias("sd"))
-    return p.join(totals, list(keys)).select(*keys, "a", "b", "n", (F.col("n") / F.col("_commits")).alias("freq"), "mean", "sd")
+def pair_shares(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """From :func:`type_statistics`, per key and pair of types: ``n`` commits with both, ``freq``, and mean and sample deviation of the log ratio of their counts."""
+    return _with_total(stats, "b is not null", keys).select(*keys, "a", "b", "n", (F.col("n") / F.col("_commits")).alias("freq"), "mean", "sd")

@@ -9,7 +9,7 @@ from gitsift.functions import scoring as S
 from gitsift.operators import profiles as P
 from gitsift.operators.detect import NARROW, latest
 from gitsift.plans.registry import Registry
-from gitsift.session import distinct_commits, table
+from gitsift.session import distinct_commits, stage, table
 
 R = Registry()
 
@@ -121,7 +121,7 @@ _TYPES = f"""WITH {C}, t AS (SELECT repo, email, sha, ft, count(*) AS n FROM (SE
 SELECT repo, filetype, n_files, n_commits, round(n_files * 100.0 / sum(n_files) OVER (PARTITION BY repo), 6) AS pct, round(n_commits / commits, 6) AS freq FROM s JOIN n USING (repo)""")
 def type_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File types of a repository: share of file changes, share of commits."""
-    s = P.type_shares(_commits(spark, sf_dir, "repo", "filetypes"), ["repo"])
+    s = P.type_shares(P.type_statistics(_commits(spark, sf_dir, "repo", "filetypes"), ["repo"], pairs=False), ["repo"])
     return s.withColumns({"pct": F.round("pct", 6), "freq": F.round("freq", 6)})
 
 
@@ -129,7 +129,8 @@ def type_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT repo, email, filetype, n_files, n_commits, round(n_files * 100.0 / sum(n_files) OVER (PARTITION BY repo, email), 6) AS pct, round(n_commits / commits, 6) AS freq FROM s JOIN n USING (repo, email)""")
 def author_type_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File types of an author: share of file changes, share of commits."""
-    s = P.type_shares(_commits(spark, sf_dir, "repo", "email", "filetypes"), ["repo", "email"])
+    keys = ["repo", "email"]
+    s = P.type_shares(P.type_statistics(_commits(spark, sf_dir, *keys, "filetypes"), keys, pairs=False), keys)
     return s.withColumns({"pct": F.round("pct", 6), "freq": F.round("freq", 6)})
 
 
@@ -138,7 +139,7 @@ p AS (SELECT x.repo, x.ft AS a, y.ft AS b, log10(x.n / y.n) AS ratio FROM t x JO
 SELECT repo, a, b, count(*) AS n, round(count(*) / any_value(commits), 6) AS freq, round(avg(ratio), 6) + 0 AS mean, CASE WHEN count(*) >= 10 THEN round(stddev_samp(ratio), 6) END AS sd FROM p JOIN n USING (repo) GROUP BY repo, a, b""")
 def pair_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of file types of a repository: commits with both, mean and deviation of the log ratio of their counts."""
-    p = P.pair_shares(_commits(spark, sf_dir, "repo", "filetypes"), ["repo"])
+    p = P.pair_shares(stage(P.type_statistics(_commits(spark, sf_dir, "repo", "filetypes"), ["repo"]), "type-statistics"), ["repo"])
     return p.withColumns({"freq": F.round("freq", 6), "mean": F.round("mean", 6) + 0, "sd": F.when(F.col("n") >= S.MIN_PAIR_SAMPLES, F.round("sd", 6))})
 
 
