@@ -1,6 +1,6 @@
 """Per-entity features from events, kept as time-bucketed partial aggregates.
 
-The store is a Parquet table partitioned by time bucket with one row per
+The store is a Parquet table partitioned by time bucket with a few rows, added up when read, per
 (bucket, entity, type). Features are merged from whole buckets plus the events of
 the partly covered buckets at the two ends; when late events arrive, only the
 buckets they fall in are computed anew.
@@ -24,7 +24,7 @@ def bucket_of(ts: Column) -> Column:
 
 
 def typed_events(events: DataFrame, entity: Sequence[str], types: str, ts: str, order: str, values: Sequence[str]) -> DataFrame:
-    """One row per event and distinct type in the array ``types``, and one of null type per event.
+    """One row per event and distinct type in the array ``types``, and one of null type per event; ``_bucket`` and ``_slot`` are kept.
 
     The row of null type stands for the event itself, so entities keep their
     event count though an event may have no type at all (null or empty array).
@@ -32,6 +32,8 @@ def typed_events(events: DataFrame, entity: Sequence[str], types: str, ts: str,
     """
     kinds = F.filter(F.array_distinct(F.coalesce(F.col(types), F.array().cast("array<string>"))), lambda t: t.isNotNull())
     return events.select(
+        "_bucket",
+        "_slot",
         *entity,
         F.col(ts).alias("_ts"),
         F.col(order).alias("_order"),
@@ -41,10 +43,9 @@ def typed_events(events: DataFrame, entity: Sequence[str], types: str, ts: str,
 
 
 def partials(typed: DataFrame, entity: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """One state per (bucket, entity, type): counts, first and last time, last order, sums."""
+    """One state per (``_bucket``, ``_slot``, entity, type): counts, first and last time, last order, sums."""
     return (
-        typed.withColumn("_bucket", bucket_of(F.col("_ts")))
-        .groupBy("_bucket", *entity, "_type")
+        typed.groupBy("_bucket", "_slot", *entity, "_type")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("_ts").alias("first_ts"),
@@ -75,22 +76,29 @@ class BucketStore:
     ``order``: a column whose largest value marks an entity's last event;
     ``values``: numeric columns that are summed (nulls are skipped and counted apart).
     ``unique``: column naming an event, if one may be delivered many times (null: not an event).
+
+    A bucket is cut into ``slots``, each made and written by one task: choose them so that the events of a slot fit
+    one. An entity's events of a bucket go to ``spread`` of them, so that a frequent entity is no single task; its states of
+    these slots are added up when they are read.
     """
 
-    def __init__(self, path: str, entity: Sequence[str], types: str, ts: str, order: str, values: Sequence[str] = (), unique: str | None = None):
+    def __init__(self, path: str, entity: Sequence[str], types: str, ts: str, order: str, values: Sequence[str] = (), unique: str | None = None, slots: int = 8, spread: int = 4):
         self.path, self.entity, self.types, self.ts, self.order = path, list(entity), types, ts, order
-        self.values, self.unique = list(values), unique
+        self.values, self.unique, self.slots, self.spread = list(values), unique, slots, min(spread, slots)
 
     def _states(self, events: DataFrame) -> DataFrame:
         cols = list(dict.fromkeys([*self.entity, self.types, self.ts, self.order, *self.values, *([self.unique] if self.unique else [])]))
         events = events.select(*cols)
         if self.unique:
             events = events.where(F.col(self.unique).isNotNull()).dropDuplicates([self.unique])
-        return partials(typed_events(events, self.entity, self.types, self.ts, self.order, self.values), self.entity, self.values)
+        part = F.pmod(F.xxhash64(self.unique) if self.unique else F.xxhash64(self.ts, self.order), F.lit(self.spread))
+        slot = F.pmod(F.pmod(F.xxhash64(*self.entity), F.lit(self.slots)) + part, F.lit(self.slots)).cast("int")
+        # one shuffle by slot serves the aggregate and the files
+        placed = events.withColumns({"_bucket": bucket_of(F.col(self.ts)), "_slot": slot}).repartition("_bucket", "_slot")
+        return partials(typed_events(placed, self.entity, self.types, self.ts, self.order, self.values), self.entity, self.values)
 
     def _write(self, states: DataFrame) -> None:
-        # rebalance lets AQE split a bucket that is much larger than the others over several files
-        states.hint("rebalance", "_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+        states.drop("_slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
 
     def build(self, events: DataFrame) -> BucketStore:
         self._write(self._states(events))
@@ -146,7 +154,7 @@ class BucketStore:
         if cut:
             if events is None:
                 raise ValueError("a bound inside a month needs the events of that month")
-            states = states.unionByName(self._states(events.where(inside & bucket_of(F.col(self.ts)).isin(cut))))
+            states = states.unionByName(self._states(events.where(inside & bucket_of(F.col(self.ts)).isin(cut))).drop("_slot"))
         return merge(states, self.entity, self.values)
 
 

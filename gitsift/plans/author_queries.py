@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,20 @@ R = Registry()
 VALUES = ("gap_seconds", "churn_ratio")
 
 
+LATE = 120  # days before the newest delivery, from which on deliveries are added to a store built without them
+
+
 def _author_store(spark: SparkSession, sf_dir: str, values: tuple[str, ...]) -> BucketStore:
+    """A store built from the earlier deliveries and brought up to date with the late ones, which change the months of their commits only."""
     store = BucketStore(scratch_path(spark, "author-buckets"), ("repo", "email"), "top_dirs", "authored_ts", "seq", values, unique="sha")
-    return store.build(table(spark, sf_dir, "commits"))
+    commits = table(spark, sf_dir, "commits")
+    since = commits.agg(F.max("ingested_ts") - F.expr(f"INTERVAL {LATE} DAYS")).first()[0]
+    if since is None:
+        return store.build(commits)
+    late = F.col("ingested_ts") > F.lit(since)
+    store.build(commits.where(~F.coalesce(late, F.lit(False))))
+    store.update(commits, commits.where(late))
+    return store
 
 
 @R.query("""
@@ -84,6 +97,31 @@ def p2_author_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SPAN = """b AS (SELECT date_trunc('second', max(authored_ts)) - INTERVAL 10 DAY AS past, date_trunc('second', max(authored_ts)) - INTERVAL 210 DAY AS start FROM commits WHERE sha IS NOT NULL)"""
+
+
+@R.query(f"""
+WITH {_SPAN}, c AS (SELECT sha, any_value(repo) AS repo, any_value(email) AS email, any_value(authored_ts) AS ts, any_value(churn_ratio) AS churn,
+                  any_value(list_filter(list_distinct(coalesce(top_dirs, [])), lambda x: x IS NOT NULL)) AS dirs
+           FROM commits WHERE sha IS NOT NULL GROUP BY sha),
+w AS (SELECT c.* FROM c, b WHERE ts >= start AND ts < past),
+d AS (SELECT repo, email, unnest(list_append(dirs, NULL)) AS top_dir, ts, churn FROM w)
+SELECT repo, email, coalesce(top_dir, '') AS top_dir, count(*) AS n, epoch(max(ts))::BIGINT AS last_time, round(sum(churn), 3) + 0 AS churn FROM d GROUP BY repo, email, d.top_dir
+""")
+def p2_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, last time and churn per author and directory ('' for all) of 200 days that begin and end inside a month.
+
+    Whole months come from the store, the events of the two months that the bounds cut from the table.
+    """
+    commits = table(spark, sf_dir, "commits")
+    end = commits.where("sha is not null").agg(F.date_trunc("second", F.max("authored_ts"))).first()[0]
+    keys = ["repo", "email"]
+    store = _author_store(spark, sf_dir, VALUES)
+    start, past = (end - timedelta(days=210), end - timedelta(days=10)) if end else (None, None)
+    f = store.features(spark, commits, start, past)
+    return f.select(*keys, F.coalesce("_type", F.lit("")).alias("top_dir"), "n", F.unix_timestamp("last_ts").alias("last_time"), (F.round("sum_churn_ratio", 3) + 0).alias("churn"))
+
+
 def _commits_with_documents(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
     commits = distinct_commits(table(spark, sf_dir, "commits"), "email", "repo", "loc_added")
     documents = table(spark, sf_dir, "documents").select("email", "repo", "n_chars")
