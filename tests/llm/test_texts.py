@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gitsift.llm.leaks import Partition, Tolerance, holds, leaked_items, partitions, shingles
+from gitsift.llm.leaks import SizeClass, Tolerance, holds, leaked_items, shingles, size_classes
 from gitsift.llm.mixture import TOKENIZER, mix, shares, token_counts
 from gitsift.llm.spans import Anchors, Lengths, deep_nodes, shared_places, shared_portion, sharing_pairs
 
@@ -167,7 +167,7 @@ def test_leaks_found_and_decoys_left(spark):
     items = [(100, j(item)), (200, j(other)), (300, "one two three"), (400, None), (500, ""), (None, j(item)), (600, "..."), (700, "w3 w4 w5 w6 w7 w8 w9")]
     want = {(d, 100) for d in (1, 2, 4, 6, 7, 8, 15, 16, 10)} | {(10, 200), (17, 300), (19, 300)} | {(d, 700) for d in (1, 7, 8, 9, 15, 16)}  # 6 lacks w9
     assert leaks(spark, docs.items(), items) == want
-    assert leaks(spark, docs.items(), items, words_a_pass=30) == want  # several passes
+    assert leaks(spark, docs.items(), items, most_bits=64) == want  # a bitmap that is full
 
 
 def test_leak_recall_at_the_edge(spark):
@@ -190,12 +190,54 @@ def test_leaks_without_rows(spark):
     assert leaks(spark, [], [(1, "a b c d e f")]) == set() and leaks(spark, [(1, "a b c d e f")], []) == set()
 
 
-def test_partitions_by_size():
-    items = [np.arange(n, dtype=np.uint64) for n in (3, 3, 4, 5, 6, 7, 34, 41, 300)]
-    sizes = [sorted(len(x) for x in p.items) for p in partitions(list(range(9)), items, Tolerance(), 0.99)]
-    assert sizes == [[3, 3], [4], [5, 6], [7], [34, 41], [300]]
-    assert isinstance(partitions([1], [np.zeros(0, dtype=np.uint64)], Tolerance(), 0.9), list)
-    assert len(shingles(np.arange(4, dtype=np.uint64), 5)) == 0 and Partition([1], [items[-1]], Tolerance(), 0.999).n_hashes > 1
+def test_passages_beyond_the_shortest(spark):
+    """More edits than a passage of the least length may have, and items much longer than a window."""
+    r = random.Random(11)
+    items = [(k, [f"i{k}x{n}" for n in range(size)]) for k, size in enumerate([39, 39, 60, 300, 300, 19, 12, 9, 25])]
+    docs, want = [], set()
+
+    def add(words, k, true):
+        docs.append((len(docs), text(r, r.randrange(90)) + " " + " ".join(words) + " " + text(r, r.randrange(90))))
+        if true:
+            want.add((len(docs) - 1, k))
+
+    for k in (0, 1):  # 30 words with three edits in the middle: no 20 of them have only two
+        for at in (0, 4, 9):
+            w = items[k][1][at : at + 30]
+            for e in (11, 14, 17):
+                w[e] = "zz"
+            add(w, k, True)
+            w[13] = "zz"
+            add(w, k, False)
+    for k in (3, 4):
+        for at in (0, 17, 100, 280):
+            add(items[k][1][at : at + 20], k, True)
+            add(items[k][1][at : at + 17], k, False)
+    add(items[2][1], 2, True)
+    w = list(items[5][1])
+    w[9] = "zz"
+    add(w, 5, True)
+    add(w[:9] + ["yy"] + w[9:], 5, False)
+    add(items[6][1][:5] + items[6][1][6:], 6, True)
+    add(items[7][1], 7, True)
+    add(items[7][1][:4] + ["zz"] + items[7][1][5:], 7, False)
+    assert leaks(spark, docs, [(k, " ".join(w)) for k, w in items]) == want
+
+
+def test_repeated_words_and_rows(spark):
+    items = [(1, "la " * 30), (2, "a b " * 15), (1, "la " * 30)]
+    docs = [(1, "la " * 25), (2, "la " * 10 + "x " * 9), (3, "a b " * 40), (3, "a b " * 40), (4, "b a " * 11)]
+    assert leaks(spark, docs, items) == {(1, 1), (3, 2), (4, 2)}
+
+
+def test_size_classes():
+    classes = size_classes(Tolerance(), 0.99)
+    lows = [c.low for c in classes]
+    assert lows == [1, 2, 3, 4, 5, 7, 9, 12, 16, 20] and [c.size for c in classes] == [1, 2, 3, 4, 5, 5, 5, 5, 5, 5]
+    assert classes[-1].need == 6 and classes[-1].block == 18 and all(c.n_hashes > 1 for c in classes)
+    assert len(shingles(np.arange(4, dtype=np.uint64), 5)) == 0 and SizeClass(20, None, Tolerance(), 0.999).n_hashes > classes[-1].n_hashes
+    first, past = classes[-1].item_sets(200)
+    assert first[0] == 0 and past[-1] == 200 and (first[1:] < past[:-1]).all()
 
 
 # ---- mixture
