@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitsift.llm.names import map_names
+from gitsift.llm.names import Decorations, map_names
 from gitsift.llm.queries import R
 from gitsift.session import distinct_commits, stage, table
 
+PACKAGES = {
+    "npm": Decorations(prefixes=("node",), suffixes=("js", "node")),
+    "pypi": Decorations(prefixes=("py", "python"), suffixes=("py", "python")),
+    "rubygems": Decorations(prefixes=("rb", "ruby"), suffixes=("rb", "ruby")),
+    "go": Decorations(prefixes=("go", "golang"), suffixes=("go", "golang"), hosts=("codeforge.example", "githarbor.example")),
+}
+
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (seq, space, name) of the new and changed dependencies."""
@@ -23,7 +30,7 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     typed = stage(_typed(spark, sf_dir), "typed-names")
     reference = table(spark, sf_dir, "popular").select(F.col("ecosystem").alias("space"), "name")
-    return typed, map_names(typed, reference)
+    return typed, map_names(typed, reference, PACKAGES)
 
 
 @R.query()
