@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gitsift.session import stage
+
 
 def cooccurrence(baskets: DataFrame, items: str, min_count: int = 1) -> DataFrame:
     """Pairs of different items with the number of baskets that hold both, lift and PMI.
@@ -19,13 +21,16 @@ def cooccurrence(baskets: DataFrame, items: str, min_count: int = 1) -> DataFram
     Each basket emits its ordered pairs (a, b) with a < b, each item as (a, a) for
     the marginals, and (null, null) for the basket, so one aggregation with
     map-side combining counts everything: a frequent item sends one row per map
-    task. The grand total is one row; the marginals are joined on the item and
-    AQE picks the way by their measured size.
+    task. The places of a basket are spread over rows before the partners are, so no row
+    holds all pairs of a large basket. The counts are stored once, as totals, marginals and pairs are all
+    read from them; the marginals are joined on the item and AQE picks the way by their measured size.
     """
     s = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(items), F.array().cast("array<string>")), lambda x: x.isNotNull())))
-    pairs = F.flatten(F.transform(F.col("s"), lambda a, i: F.transform(F.slice(F.col("s"), i + 1, F.size("s")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    basket = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
-    counts = baskets.select(s.alias("s")).select(F.explode(F.concat(basket, pairs)).alias("p")).groupBy("p.a", "p.b").count()
+    i, nothing = F.col("i"), F.lit(None).cast("string")
+    places = baskets.select(s.alias("s")).select("s", F.explode(F.sequence(F.lit(-1), F.size("s") - 1)).alias("i"))  # -1: the basket itself
+    partners = F.when(i < 0, F.array(nothing)).otherwise(F.slice("s", i + 1, F.size("s")))
+    pairs = places.select(F.when(i >= 0, F.get("s", i)).alias("a"), F.explode(partners).alias("b"))
+    counts = stage(pairs.groupBy("a", "b").count(), "pair-counts")
     n = counts.where(F.col("a").isNull()).select("count").scalar()
     own = counts.where(F.col("a") == F.col("b"))
     n_ab, n_a, n_b, total = (F.col(c).cast("double") for c in ("n_ab", "n_a", "n_b", "n"))
