@@ -1,8 +1,7 @@
 """Counts of all n-grams over a collection of records, by a suffix array with common-prefix intervals.
 
-Every token position starts a suffix, cut to the ``max_n`` tokens that matter and
-to the end of its record. Within a record the suffixes are sorted, and the common
-prefix of neighbours says for which lengths a suffix repeats an n-gram that its
+Every token position starts a suffix that goes on to the end of its record. Within a record the suffixes
+are sorted, and the common prefix of neighbours says for which lengths a suffix repeats an n-gram that its
 record has already: those are the duplicates to subtract when records are counted. Equal
 suffixes are combined before the shuffle. The rest is range-partitioned and
 sorted: each partition holds a stretch of the suffix array, and a scan over
@@ -19,9 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SUFFIX_TOKENS = 2_000_000  # tokens of suffixes passed on at a time
 
-def _combine(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows of an integer matrix and their counts, by packing each row into one number."""
+
+def _combine(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct rows of an integer matrix: the first place of each, its count, and each row's number among them."""
     packed, room = np.zeros(len(rows), dtype=np.int64), 1
     for col in rows.T:
         col = col - col.min()
@@ -30,11 +31,45 @@ def _combine(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             values, packed = np.unique(packed, return_inverse=True)
             room = len(values)
         packed, room = packed * size + col, room * size
-    _, first, n = np.unique(packed, return_index=True, return_counts=True)
-    return rows[first], n
-
-
-def _suffixes(max_n: int, keys: list[str]):
+    _, first, number, n = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
+    return first, n, number
+
+
+class Ranks:
+    """Order of the prefixes of 1, 2, 4, ... tokens at every position, by doubling; past the end of a record stands 0."""
+
+    def __init__(self, code: np.ndarray, left: np.ndarray, longest: int) -> None:
+        """``code``: tokens as numbers from 1 on, record after record; ``left``: tokens from each position to the end of its record."""
+        self.left, self.levels, width = left, [code], 1
+        while 2 * width <= longest:
+            self.levels.append(self._pairs(self.levels[-1], width, width))
+            width *= 2
+
+    def _pairs(self, rank: np.ndarray, step: int, width: int) -> np.ndarray:
+        ahead = np.zeros(len(rank), dtype=np.int64)
+        inside = np.flatnonzero(self.left > step)
+        ahead[inside] = rank[inside + step]
+        return np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)[1] + 1
+
+    def prefixes(self, n: int) -> np.ndarray:
+        """Numbers that are equal where the first ``n`` tokens are (or all to the end), and in their order."""
+        k = min(n.bit_length() - 1, len(self.levels) - 1)
+        width = 1 << k
+        return self.levels[k] if n == width else self._pairs(self.levels[k], n - width, width)
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Number of tokens that the suffixes at positions a and b have in common."""
+        out = np.zeros(len(a), dtype=np.int64)
+        most = np.minimum(self.left[a], self.left[b])
+        for k in reversed(range(len(self.levels))):
+            for _ in range(2 if k == len(self.levels) - 1 else 1):
+                go = np.flatnonzero(out + (1 << k) <= most)
+                go = go[self.levels[k][a[go] + out[go]] == self.levels[k][b[go] + out[go]]]
+                out[go] += 1 << k
+        return out
+
+
+def _suffixes(max_n: int | None, keys: list[str]):
     """mapInArrow function: token arrays in, (keys, suffix, dup, n) out, combined per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,49 +82,61 @@ def _suffixes(max_n: int, keys: list[str]):
                 continue
             coded = flat.dictionary_encode()
             terms = coded.dictionary
-            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            order = np.argsort(np.argsort(np.array([t.encode() for t in terms.to_pylist()], dtype=object), kind="stable"))  # numbers in the order of the terms
+            code = order[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64) + 1
+            terms = terms.take(pa.array(np.argsort(order)))
             rec = np.asarray(parents, dtype=np.int64)
             size = len(code)
-            ctx = np.zeros((size, max_n), dtype=np.int64)  # 0: past the end of the record
-            for k in range(min(max_n, size)):
-                same = rec[: size - k] == rec[k:]
-                ctx[: size - k, k] = np.where(same, code[k:], 0)
-            order = np.lexsort((*ctx.T[::-1], rec))
-            srt, srec = ctx[order], rec[order]
+            ends = np.searchsorted(rec, rec, side="right")
+            left = ends - np.arange(size)
+            most = min(max_n or size, int(left.max()))
+            ranks = Ranks(code, left, most)
+            whole = ranks.prefixes(most)
+            srt = np.lexsort((whole, rec))
             # common prefix with the suffix sorted before it in the same record
-            eq = np.zeros((size, max_n), dtype=bool)
-            eq[1:] = (srt[1:] == srt[:-1]) & (srt[1:] > 0) & (srec[1:] == srec[:-1])[:, None]
-            dup = np.cumprod(eq, axis=1).sum(axis=1)
+            dup = np.zeros(size, dtype=np.int64)
+            if size > 1:
+                again = np.flatnonzero(rec[srt[1:]] == rec[srt[:-1]]) + 1
+                dup[srt[again]] = np.minimum(ranks.common(srt[again], srt[again - 1]), most)
             key_codes = [batch.column(i).dictionary_encode() for i in range(len(keys))]
-            kc = [np.asarray(k.indices.fill_null(-1), dtype=np.int64)[srec] for k in key_codes]
-            rows, n = _combine(np.column_stack([*kc, srt, dup]))
-            body = rows[:, len(keys) : len(keys) + max_n]
-            lengths = (body > 0).sum(axis=1)
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            suffix = pa.ListArray.from_arrays(offsets, terms.take(pa.array(body[body > 0] - 1)))
-            out = [k.dictionary.take(pa.array(np.where(rows[:, i] < 0, 0, rows[:, i]), mask=rows[:, i] < 0)) for i, k in enumerate(key_codes)]
-            yield pa.RecordBatch.from_arrays([*out, suffix, pa.array(rows[:, -1].astype(np.int32)), pa.array(n.astype(np.int64))], names=[*keys, "suffix", "dup", "n"])
+            kc = [np.asarray(k.indices.fill_null(-1), dtype=np.int64)[rec] for k in key_codes]
+            first, n, _ = _combine(np.column_stack([*kc, whole, dup]))
+            lengths = np.minimum(left[first], most)
+            cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // SUFFIX_TOKENS)) + 1
+            for part in np.split(np.arange(len(first)), cuts):
+                at, many = first[part], lengths[part]
+                offsets = np.concatenate([[0], np.cumsum(many)])
+                place = np.repeat(at - offsets[:-1], many) + np.arange(offsets[-1])
+                suffix = pa.ListArray.from_arrays(offsets.astype(np.int32), terms.take(pa.array(code[place] - 1)))
+                out = [k.dictionary.take(pa.array(np.where(c[at] < 0, 0, c[at]), mask=c[at] < 0)) for k, c in zip(key_codes, kc)]
+                yield pa.RecordBatch.from_arrays([*out, suffix, pa.array(dup[at].astype(np.int32)), pa.array(n[part].astype(np.int64))], names=[*keys, "suffix", "dup", "n"])
 
     return run
 
 
-def _intervals(max_n: int, keys: list[str]):
-    """mapInArrow function over sorted (keys, suffix, counts by dup): one row per interval (n-gram) in this stretch.
+def _intervals(keys: list[str], shortest: int, longest: int | None, min_tf: int):
+    """mapInArrow function over sorted (keys, suffix, dup, n): one row per interval (n-gram) in this stretch.
 
-    counts[d] is the number of occurrences whose first d tokens repeat within their record.
+    Of the suffix there are n occurrences whose first ``dup`` tokens repeat within their record. N-grams of fewer than ``min_tf`` occurrences are left
+    out, except at the two ends of the stretch, where the next stretch may have more of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path: list[tuple[object, ...]] = []  # open intervals: keys, then one term per depth
+        path: list[str] = []  # the open intervals, one term per depth
         tf: list[int] = []
         df: list[int] = []
         key: tuple[object, ...] | None = None
+        at_start = 0  # of the open intervals, those that began with the stretch
         done: list[tuple[tuple[object, ...], list[str], int, int]] = []
 
-        def close(depth: int) -> None:
+        def close(depth: int, end: bool = False) -> None:
+            nonlocal at_start
             while len(path) > depth:
-                done.append((key, list(path), tf.pop(), df.pop()))
+                n, t, d = len(path), tf.pop(), df.pop()
+                if n >= shortest and (t >= min_tf or end or n <= at_start):
+                    done.append((key, list(path), t, d))
                 path.pop()
+            at_start = min(at_start, depth)
 
         def flush() -> pa.RecordBatch:
             cols = [pa.array([d[0][i] for d in done], type=pa.string()) for i in range(len(keys))]
@@ -102,39 +149,44 @@ def _intervals(max_n: int, keys: list[str]):
 
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for *k, suffix, counts in zip(*cols):
+            for *k, suffix, dup, n in zip(*cols):
+                suffix = suffix[:longest]
                 lcp = 0
                 if tuple(k) == key:
                     while lcp < min(len(path), len(suffix)) and path[lcp] == suffix[lcp]:
                         lcp += 1
                 close(lcp)
-                key = tuple(k)
-                for term in suffix[lcp:]:
-                    path.append(term)
-                    tf.append(0)
-                    df.append(0)
-                total, fresh = sum(counts), 0
-                for d in range(len(suffix)):  # the n-gram of d + 1 tokens is new to its record unless dup > d
-                    fresh += counts[d]
-                    tf[d] += total
-                    df[d] += fresh
-            if done:
-                yield flush()
-        close(0)
+                begins, key = key is None, tuple(k)
+                path += suffix[lcp:]
+                if begins:
+                    at_start = len(path)
+                tf += [0] * (len(suffix) - lcp)
+                df += [0] * (len(suffix) - lcp)
+                for d in range(len(suffix)):
+                    tf[d] += n
+                    if d >= dup:  # the n-gram of d + 1 tokens is new to its record unless dup > d
+                        df[d] += n
+                if len(done) >= 10_000:
+                    yield flush()
+        close(0, end=True)
         if done:
             yield flush()
 
     return run
 
 
-def ngram_counts(records: DataFrame, tokens: str, max_n: int = 1, keys: list[str] | None = None) -> DataFrame:
-    """Occurrences ``tf`` and records ``df`` of every n-gram of 1 to ``max_n`` tokens.
+def ngram_counts(records: DataFrame, tokens: str, max_n: int | None = None, keys: list[str] | None = None, shortest: int = 1, longest: int | None = None, min_tf: int = 1) -> DataFrame:
+    """Occurrences ``tf`` and records ``df`` of every n-gram, of any length that a record has.
 
     ``records`` has one row per record; ``tokens`` is an array of strings in record
     order. ``keys`` are string columns by which collections are counted apart. Columns: the
-    keys, ``ngram`` (array), ``tf``, ``df``. Null tokens are dropped and the tokens
+    keys, ``ngram`` (array), ``tf``, ``df``. Returned are n-grams of ``shortest`` to ``longest`` tokens that occur at least ``min_tf``
+    times. Null tokens are dropped and the tokens
     around them count as neighbours; records with a null or empty array have no n-grams; an empty
-    table gives an empty result. No n-gram is left out, however rare or frequent.
+    table gives an empty result. No other n-gram is left out, however rare or frequent.
+
+    The suffixes of a record go to its end and so hold half the square of its tokens; where records are long, ``max_n`` cuts
+    them to the longest n-grams that are wanted.
 
     A frequent suffix is combined in each map task, so it reaches the range
     partition as one row. An interval cut by a partition border comes out in parts,
@@ -144,11 +196,11 @@ def ngram_counts(records: DataFrame, tokens: str, max_n: int = 1, keys: list[str
     names = ", ".join(f"{k} string" for k in keys) + (", " if keys else "")
     rows = records.select(*keys, F.filter(F.col(tokens), lambda t: t.isNotNull()).alias("_tokens"))
     suffixes = rows.mapInArrow(_suffixes(max_n, keys), f"{names}suffix array<string>, dup int, n bigint")
-    by_dup = [F.coalesce(F.sum(F.when(F.col("dup") == d, F.col("n"))), F.lit(0)) for d in range(max_n + 1)]
-    combined = suffixes.groupBy(*keys, "suffix").agg(F.array(*by_dup).alias("counts"))
-    stretch = combined.repartitionByRange(*keys, "suffix").sortWithinPartitions(*keys, "suffix")
-    parts = stretch.mapInArrow(_intervals(max_n, keys), f"{names}ngram array<string>, tf bigint, df bigint")
-    return parts.groupBy(*keys, "ngram").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    # equal suffixes meet in the range partition; those of one task are one row for each depth of repetition
+    stretch = suffixes.groupBy(*keys, "suffix", "dup").agg(F.sum("n").alias("n")).repartitionByRange(*keys, "suffix").sortWithinPartitions(*keys, "suffix")
+    parts = stretch.select(*keys, "suffix", "dup", "n").mapInArrow(_intervals(keys, shortest, longest, min_tf), f"{names}ngram array<string>, tf bigint, df bigint")
+    out = parts.groupBy(*keys, "ngram").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    return out.where(F.col("tf") >= min_tf) if min_tf > 1 else out
 
 
 def mark_terms(counts: DataFrame, n_records: DataFrame, rare_at_most: int, common_num: int, common_den: int) -> DataFrame:

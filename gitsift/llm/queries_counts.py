@@ -84,15 +84,17 @@ def _filetype_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence(baskets, "filetypes")
 
 
-MAX_N = 2  # pairs of neighbouring terms are counted along with single terms
-
-
-def _term_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _term_counts(spark: SparkSession, sf_dir: str, shortest: int, longest: int | None, min_tf: int = 1) -> DataFrame:
+    """Counts of n-grams of the terms of distinct commits, from whole suffixes."""
     commits = distinct_commits(table(spark, sf_dir, "commits"), "filetypes", "top_dirs")
     field = lambda c: F.struct(F.lit(c).alias("field"), F.col(c).alias("terms"))
     long = commits.select(F.explode(F.array(field("filetypes"), field("top_dirs"))).alias("f")).select("f.field", "f.terms")
+    return ngram_counts(long, "terms", None, ["field"], shortest, longest, min_tf)
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "commits").agg(F.count_distinct("sha").alias("n"))
-    return ngram_counts(long, "terms", MAX_N, ["field"]), n
+    return mark_terms(_term_counts(spark, sf_dir, 1, 1), n, 2, 20, 100)
 
 
 _TERMS = """
@@ -106,17 +108,13 @@ m AS (SELECT *, CASE WHEN df * 100 >= 20 * (SELECT count(*) FROM c) THEN 'common
 @R.query(_TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms in at most two commits, or in at least a fifth of all."""
-    counts, n = _term_counts(spark, sf_dir)
-    single = counts.where(F.size("ngram") == 1)
-    return mark_terms(single, n, 2, 20, 100).where(F.col("mark").isNotNull()).select("field", F.col("ngram")[0].alias("term"), "mark")
+    return _marked(spark, sf_dir).where(F.col("mark").isNotNull()).select("field", F.col("ngram")[0].alias("term"), "mark")
 
 
 @R.query(_TERMS + "SELECT field, term, tf, df, mark FROM m")
 def p6_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct term with its occurrences, its commits and its mark."""
-    counts, n = _term_counts(spark, sf_dir)
-    single = counts.where(F.size("ngram") == 1)
-    return mark_terms(single, n, 2, 20, 100).select("field", F.col("ngram")[0].alias("term"), "tf", "df", "mark")
+    return _marked(spark, sf_dir).select("field", F.col("ngram")[0].alias("term"), "tf", "df", "mark")
 
 
 @R.query("""
@@ -127,5 +125,18 @@ SELECT field, p[1] AS first_term, p[2] AS second_term, count(*) AS tf, count(DIS
 """)
 def p6_neighbour_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of terms that follow each other in a commit, with occurrences and commits."""
-    counts, _ = _term_counts(spark, sf_dir)
-    return counts.where(F.size("ngram") == 2).select("field", F.col("ngram")[0].alias("first_term"), F.col("ngram")[1].alias("second_term"), "tf", "df")
+    counts = _term_counts(spark, sf_dir, 2, 2)
+    return counts.select("field", F.col("ngram")[0].alias("first_term"), F.col("ngram")[1].alias("second_term"), "tf", "df")
+
+
+@R.query("""
+WITH c AS (SELECT sha, any_value(list_filter(filetypes, lambda x: x IS NOT NULL)) AS filetypes, any_value(list_filter(top_dirs, lambda x: x IS NOT NULL)) AS top_dirs FROM commits WHERE sha IS NOT NULL GROUP BY sha),
+l AS (SELECT 'filetypes' AS field, sha, filetypes AS t FROM c UNION ALL SELECT 'top_dirs', sha, top_dirs FROM c),
+s AS (SELECT field, sha, t[i:] AS t FROM (SELECT field, sha, t, unnest(range(1, len(t) - 1)) AS i FROM l WHERE len(t) >= 3)),
+g AS (SELECT field, sha, t[:n] AS g FROM (SELECT field, sha, t, unnest(range(3, len(t) + 1)) AS n FROM s))
+SELECT field, len(g)::INT AS n_terms, array_to_string(g, ' ') AS terms, count(*) AS tf, count(DISTINCT sha) AS df FROM g GROUP BY field, g HAVING count(*) >= 2
+""")
+def p6_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of three or more terms, of any length, that occurs at least twice, with occurrences and commits."""
+    counts = _term_counts(spark, sf_dir, 3, None, 2)
+    return counts.select("field", F.size("ngram").alias("n_terms"), F.array_join("ngram", " ").alias("terms"), "tf", "df")
