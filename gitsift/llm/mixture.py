@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -92,7 +92,7 @@ def _rate(sources: dict[str, Source]):
 def balance(cells: DataFrame, targets: DataFrame, total_tokens: int | None, max_steps: int = 100) -> dict[str, Source]:
     """Multipliers of all sources. ``cells``: source, n_tokens, n (documents of this source and length).
 
-    What comes to the driver is one row per listed source and step.
+    What comes to the driver is one row per listed source and step. Multipliers that do not settle within ``max_steps`` are an error.
     """
     wanted = {r["source"]: r for r in targets.collect() if r["source"] is not None and (r["target_share"] or 0) > 0 and (r["max_repeats"] or 0) > 0}
     have = cells.where(F.col("source").isin(list(wanted))).groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("tokens"), F.sum("n").alias("n")).collect()
@@ -115,10 +115,26 @@ def balance(cells: DataFrame, targets: DataFrame, total_tokens: int | None, max_
         sums = rows.groupBy("source").agg(F.sum(mass).alias("value"), F.sum(F.when(F.col("rate") < F.col("cap"), mass * F.col("n_tokens") / F.col("mean")).otherwise(0.0)).alias("slope"))
         for r in sums.collect():
             sources[r["source"]].step(r["value"], r["slope"])
+    if left := [k for k, s in sources.items() if not s.done]:
+        raise RuntimeError(f"no multiplier found in {max_steps} steps for {left}")
     return sources
 
 
-def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, rows_a_group: int = 50_000) -> DataFrame:
+def sums_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """Add ``before``: the sum of ``value`` over the rows of equal ``keys`` that come earlier by ``order`` (together with the keys unique).
+
+    Taken level by level: over the totals of the first column of ``order``, and inside each of its values by the rest.
+    """
+    if len(order) == 1:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return rows.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    level = [*keys, order[0]]
+    totals = sums_before(rows.groupBy(*level).agg(F.sum(value).alias(value)), keys, order[:1], value).select(*level, F.col("before").alias("_lead"))
+    inside = sums_before(rows, level, order[1:], value)
+    return inside.join(totals, level).withColumn("before", F.col("before") + F.col("_lead")).drop("_lead")
+
+
+def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None, rows_a_group: int = 50_000, most_cut: int = 100_000) -> DataFrame:
     """Copies of each document: ``id``, ``source``, ``n_tokens``, ``rate``, ``copies`` (0 included) for documents of listed sources.
 
     ``counts``: from :func:`token_counts`, best stored, as it is read several times. ``targets``: ``source``,
@@ -128,23 +144,31 @@ def mix(counts: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     no source exceeds its repeats. Nothing to mix gives an empty result.
 
     Rounding: documents are put in order of source and length; copies are given where the running sum of the
-    fractional rates passes a half-integer. The running sum is over (source, length, slice) cells, a slice being a hash
-    part of the ids such that none holds much more than ``rows_a_group`` documents, however many share source and length.
+    fractional rates, in decimals, passes a half-integer. The sum runs over (source, length, slice) cells, level by level: over bands of
+    lengths (some hundreds a source), over the lengths of a band, over the slices of a length. A length that more than
+    ``rows_a_group`` documents of a source share (more than that, if there were over ``most_cut`` such lengths) is cut into slices by a hash of the ids, so no task holds them all;
+    the list of these lengths, at most ``most_cut`` rows, is all that is broadcast.
     """
     used = counts.where(F.col("n_tokens") > 0)
     cells = stage(used.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")), "lengths")
     sources = balance(cells, targets, total_tokens)
     if not sources:
         return counts.limit(0).withColumns({"rate": F.lit(0.0), "copies": F.lit(0).cast("long")})
-    slices = max(1, math.ceil((cells.agg(F.max("n")).first()[0] or 0) / rows_a_group))
+    mine = F.col("source").isin(list(sources))
     rate, _ = _rate(sources)
-    used = used.where(F.col("source").isin(list(sources)))
-    docs = used.select("id", "source", "n_tokens", F.pmod(F.xxhash64("id"), F.lit(slices)).alias("slice"), F.xxhash64("id", F.lit(1)).alias("_h"))
-    whole, part = F.floor(rate), rate - F.floor(rate)
-    upto = F.sum(F.col("n") * F.col("part")).over(W.partitionBy("source").orderBy("n_tokens", "slice").rowsBetween(W.unboundedPreceding, W.currentRow))
-    cell = docs.groupBy("source", "n_tokens", "slice").agg(F.count(F.lit(1)).alias("n")).withColumns({"rate": rate, "part": part, "whole": whole}).withColumn("upto", upto)
-    extra = F.floor(F.round("upto", 6) + 0.5) - F.floor(F.round(F.col("upto") - F.col("n") * F.col("part"), 6) + 0.5)
-    cell = cell.select("source", "n_tokens", "slice", "rate", "whole", extra.alias("extra"))
+    documents = cells.where(mine).agg(F.sum("n")).first()[0]
+    most = max(rows_a_group, -(-documents // most_cut))
+    cut = cells.where(mine & (F.col("n") > most)).select("source", "n_tokens", F.ceil(F.col("n") / most).alias("slices"))  # documents / most rows at most
+    slice_ = F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1))).alias("slice")
+    docs = used.where(mine).join(F.broadcast(cut), ["source", "n_tokens"], "left").select("id", "source", "n_tokens", slice_, F.xxhash64("id", F.lit(1)).alias("_h"))
+    whole = F.floor(rate)
+    mass = F.col("n").cast("decimal(15,0)") * (rate - whole).cast("decimal(13,12)")
+    band = F.floor(F.log2("n_tokens") * 16).alias("band")
+    cell = docs.groupBy("source", "n_tokens", "slice").agg(F.count(F.lit(1)).alias("n")).select("source", band, "n_tokens", "slice", rate.alias("rate"), whole.alias("whole"), mass.alias("mass"))
+    cell = sums_before(cell, ["source"], ["band", "n_tokens", "slice"], "mass")
+    half = F.lit(0.5).cast("decimal(2,1)")
+    extra = F.floor(F.col("before") + F.col("mass") + half) - F.floor(F.col("before") + half)
+    cell = cell.select("source", "n_tokens", "slice", "rate", "whole", extra.cast("long").alias("extra"))
     rank = F.row_number().over(W.partitionBy("source", "n_tokens", "slice").orderBy("_h", "id"))
     return docs.join(cell, ["source", "n_tokens", "slice"]).select("id", "source", "n_tokens", "rate", (F.col("whole") + (rank <= F.col("extra")).cast("long")).alias("copies"))
 
