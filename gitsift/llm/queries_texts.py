@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gitsift.llm.leaks import leaked_items
 from gitsift.llm.mixture import mix, shares, token_counts
 from gitsift.llm.queries import R
-from gitsift.llm.spans import shared_places, shared_portion, sharing_pairs
+from gitsift.llm.spans import class_members, shared_places, shared_portion, sharing_pairs
 from gitsift.session import stage, table
 
 MIN_SPAN = 300
@@ -21,6 +21,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+@R.query()
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document and class of documents that share a span: the others of the class. The scalable form of the pairs."""
+    members = class_members(shared_places(table(spark, sf_dir, "documents"), "doc_id", "text", MIN_SPAN))
+    return members.select("class", F.col("id").alias("doc_id"), (F.col("n") - 1).alias("n_links"))
+
+
 @R.query()
 def p9_shared_portion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many of its characters stand in spans of at least 300 that another document has too."""

@@ -10,6 +10,10 @@ before any text moves. What remains is cut to the W - 1 characters before and th
 anchor, sorted, and each partition's suffix tree is read off the common prefixes of
 neighbours: a node of depth d, whose suffixes also agree in the L - d characters to
 the left, is a repeat of at least L characters. Comparisons are of the texts themselves.
+
+The prefixes have variable lengths: a partition with too many suffixes is split by more characters, until its parts fit or
+agree in L characters and so are one node. A shared span may go on to the right or to the left of the anchor, so it is
+split in two: the suffixes that agree in half of what is missing to the right, and those that agree in the rest of it to the left.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,21 +143,35 @@ def _anchor_rows(min_length: int):
     return run
 
 
+SEGMENTS = 4000  # rows that a task holds before it passes them on
+
+
 def _segment_rows(min_length: int):
     """(id, text, anchors) -> one row per anchor with the text around it."""
     before = Lengths(min_length).window - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+        out: list[tuple] = []
+
+        def passed_on() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), types)], names=["key", "n", "id", "pos", "left", "right"])
+            out.clear()
+            return rows
+
         for batch in batches:
-            out: list[tuple] = []
-            for i, text, anchors in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                for a in anchors:
-                    p = a["pos"]
-                    out.append((a["fp"], a["many"], i, p, text[max(0, p - before) : p], text[p : p + min_length]))
-            for at in range(0, len(out), 10_000):
-                part = list(zip(*out[at : at + 10_000]))
-                types = [pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(part, types)], names=["fp", "many", "id", "pos", "left", "right"])
+            lists = batch.column(2)
+            offsets, places = lists.offsets.to_numpy(), lists.values
+            fp, n, pos = (places.field(k).to_numpy() for k in ("fp", "n", "pos"))
+            for r in range(batch.num_rows):  # one text at a time
+                i, text = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                for k in range(offsets[r], offsets[r + 1]):
+                    p = int(pos[k])
+                    out.append((int(fp[k]), int(n[k]), i, p, text[max(0, p - before) : p], text[p : p + min_length]))
+                    if len(out) == SEGMENTS:
+                        yield passed_on()
+        if out:
+            yield passed_on()
 
     return run
 
@@ -242,54 +261,85 @@ def _class_rows(min_length: int):
     return run
 
 
+LEAVES = 20  # missing characters from which on the last splits are made at once
+
+
+def _split(many: DataFrame, min_length: int) -> DataFrame:
+    """Parts of over-full partitions: suffixes that agree in ``r`` characters to the right and ``l`` to the left of the anchor go to the part of
+    those that agree in half of the missing characters more to the right, and to the part of those that agree in the others to the left."""
+    missing = F.lit(min_length) - F.col("r") - F.col("l")
+    more = F.ceil(missing / 2).cast("int")
+    one = F.struct((F.col("r") + more).alias("r"), F.col("l").alias("l"))
+    other = F.struct(F.col("r").alias("r"), (F.col("l") + missing - more + 1).alias("l"))
+    rows = many.select("id", "pos", "left", "right", F.explode(F.array(one, other)).alias("x")).select("id", "pos", "left", "right", "x.r", "x.l")
+    rows = rows.where((F.length("right") >= F.col("r")) & (F.length("left") >= F.col("l")))
+    # the length of the left part makes the key of two strings unambiguous
+    key = F.xxhash64("r", "l", F.substring(F.col("right"), F.lit(1), F.col("r")), F.expr("right(`left`, l)"))
+    rows = rows.withColumn("key", key)
+    sizes = rows.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("key", "n")
+    return rows.join(sizes, "key")
+
+
 def shared_places(docs: DataFrame, id: str, text: str, min_length: int = 300, max_group: int = 4000) -> DataFrame:
     """Places of texts that occur word for word in another record, as classes of places.
 
     Columns: ``class`` (its records all share one span of at least ``min_length`` characters), ``id``,
     ``start``, ``end`` (0-based, end excluded, in code points: the stretch that the record shares with another of the class). Every pair of
-    different records with a common substring of ``min_length`` characters meets in some class, and only such pairs do.
+    different records with a common substring of ``min_length`` characters meets in some class, and only such pairs do; the stretches of a
+    record cover all that it shares.
     Places of one record only are no class. Null, empty and shorter texts have no places; rows
     with a null ``id`` are left out; equal texts under several ids share as any others; ``id`` should be unique (rows of one id are
     taken for one record, their places mixed). Other columns are not read.
 
-    A partition of more than ``max_group`` suffixes is not put into one task: each span of min_length characters
-    through its anchors then is a key of its own, hashed in the map tasks and grouped by Spark (exact as well).
+    No task gets a partition of more than ``max_group`` suffixes: it is split by longer prefixes first, round by round. Suffixes that agree in all
+    ``min_length`` characters are one node, a class without a tree, however many there are; its stretches are of just ``min_length`` characters.
     """
     l = Lengths(min_length)
     texts = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & (F.length("text") >= min_length))
     anchors = stage(texts.mapInArrow(_anchor_rows(min_length), "fp long, id long, pos int"), "anchors")
     repeated = anchors.groupBy("fp").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b")
-    kept = anchors.join(repeated.select("fp", (F.col("n") > max_group).alias("many")), "fp")
-    by_doc = kept.groupBy("id").agg(F.collect_set(F.struct("fp", "pos", "many")).alias("anchors"))  # bounded by the length of the text
-    segments = texts.join(by_doc, "id").mapInArrow(_segment_rows(min_length), "fp long, many boolean, id long, pos int, left string, right string")
-    segments = stage(segments, "segments")
-    few = segments.where(~F.col("many")).select("fp", "id", "pos", "left", "right").repartition("fp").sortWithinPartitions("fp", "right")
-    classes = few.mapInArrow(_class_rows(min_length), "class string, id long, start int, end int")
-    around = F.concat("left", "right")
-    starts = F.explode(F.sequence(F.lit(0), F.length("around") - min_length))
-    windows = (
-        segments.where("many")
-        .select("id", (F.col("pos") - F.length("left")).alias("from"), around.alias("around"))
-        .where(F.length("around") >= min_length)
-        .select("id", "from", "around", starts.alias("k"))
-        .select(F.md5(F.encode(F.substring(F.col("around"), F.col("k") + 1, F.lit(min_length)), "utf-8")).alias("class"), "id", (F.col("from") + F.col("k")).alias("start"))
-        .distinct()
-    )
-    common = windows.groupBy("class").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("class")
-    hot = windows.join(common, "class").select("class", "id", "start", (F.col("start") + min_length).alias("end"))
-    return classes.unionByName(hot)
-
-
-def sharing_pairs(places: DataFrame) -> DataFrame:
-    """Pairs ``id_a`` < ``id_b`` of records in one class, each once. The number of pairs is the size of the result asked for.
+    kept = anchors.join(repeated.select("fp", "n"), "fp")
+    by_doc = kept.groupBy("id").agg(F.collect_set(F.struct("fp", "pos", "n")).alias("anchors"))  # of one text, a row itself, and a fraction of its size
+    segments = texts.join(by_doc, "id").mapInArrow(_segment_rows(min_length), "key long, n long, id long, pos int, left string, right string")
+    open_ = stage(segments, "segments").withColumns({"r": F.lit(l.right), "l": F.lit(0)})
+    missing, few = min_length - l.right, [open_.where(F.col("n") <= max_group)]
+    many = open_.where(F.col("n") > max_group)
+    full = not many.isEmpty()
+    while full and missing > LEAVES:
+        open_ = stage(_split(many, min_length), "split-segments")
+        missing //= 2
+        few.append(open_.where(F.col("n") <= max_group))
+        many = open_.where(F.col("n") > max_group)
+        full = not many.isEmpty()
+    trees = reduce(DataFrame.unionByName, few).select("key", "id", "pos", "left", "right").repartition("key").sortWithinPartitions("key", "right")
+    classes = trees.mapInArrow(_class_rows(min_length), "class string, id long, start int, end int")
+    if not full:
+        return classes
+    # the last splits at once: each part is named by the min_length characters that its suffixes agree in
+    r = F.explode(F.sequence(F.col("r"), F.lit(min_length) - F.col("l")))
+    nodes = many.select("id", "pos", "left", "right", r.alias("r")).where((F.length("right") >= F.col("r")) & (F.length("left") >= F.lit(min_length) - F.col("r")))
+    span = F.concat(F.expr(f"right(`left`, {min_length} - r)"), F.substring(F.col("right"), F.lit(1), F.col("r")))
+    nodes = nodes.select(F.md5(F.encode(span, "utf-8")).alias("class"), "id", (F.col("pos") + F.col("r") - min_length).alias("start")).distinct()
+    common = nodes.groupBy("class").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("class")
+    return classes.unionByName(nodes.join(common, "class").select("class", "id", "start", (F.col("start") + min_length).alias("end")))
+
+
+def class_members(places: DataFrame) -> DataFrame:
+    """(``class``, ``id``, ``n``): records of each class once, with the number of records in it.
 
     A long shared span gives a class at each of its anchors, with the same records; of classes that agree in number, sum and
-    exclusive or of their records' hashes (128 bits) one is paired.
+    exclusive or of their records' hashes (128 bits) one is kept. Linear in the places: no pairs are made.
     """
     members = places.select("class", "id").distinct()
     h = F.xxhash64("id")
     alike = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x"))
-    members = members.join(alike.groupBy("n", "s", "x").agg(F.min("class").alias("class")).select("class"), "class")
+    return members.join(alike.groupBy("n", "s", "x").agg(F.min("class").alias("class")).select("class", "n"), "class")
+
+
+def sharing_pairs(places: DataFrame) -> DataFrame:
+    """Pairs ``id_a`` < ``id_b`` of records in one class, each once. The number of pairs is the size of the result asked for;
+    :func:`class_members` gives the same links without them."""
+    members = class_members(places)
     other = members.select("class", F.col("id").alias("id_b"))
     return members.withColumnRenamed("id", "id_a").join(other, "class").where("id_a < id_b").select("id_a", "id_b").distinct()
 

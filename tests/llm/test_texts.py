@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gitsift.llm.leaks import SizeClass, Tolerance, holds, leaked_items, shingles, size_classes
-from gitsift.llm.mixture import TOKENIZER, mix, shares, token_counts
-from gitsift.llm.spans import Anchors, Lengths, deep_nodes, shared_places, shared_portion, sharing_pairs
+from gitsift.llm.mixture import TOKENIZER, balance, mix, shares, sums_before, token_counts
+from gitsift.llm.spans import Anchors, Lengths, class_members, deep_nodes, shared_places, shared_portion, sharing_pairs
 
 WORDS = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "ul", "an", "ör")]
 
@@ -50,7 +50,7 @@ def planted(seed, length, n=60):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("length,max_group", [(60, 4000), (60, 2), (25, 4000), (8, 5), (2, 4000)])
+@pytest.mark.parametrize("length,max_group", [(60, 4000), (60, 2), (60, 10), (25, 4000), (8, 5), (2, 4000)])
 def test_spans_equal_brute_force(spark, length, max_group):
     docs = planted(length, length)
     if length == 2:
@@ -64,6 +64,29 @@ def test_spans_equal_brute_force(spark, length, max_group):
     assert {r.doc: r.shared_chars for r in shared_portion(df.where("doc is not null"), "doc", "body", places).collect()} == by_hand
 
 
+def test_frequent_footer_is_split(spark, monkeypatch):
+    """One footer in most texts, longer than the span on the right or reached only from the left: over-full at first, parts afterwards."""
+    import gitsift.llm.spans as spans
+
+    monkeypatch.setattr(spans, "LEAVES", 3)
+    r = random.Random(7)
+    footer = text(r, 30)
+    docs = [(i, text(r, r.randrange(3, 20)) + footer[: r.choice([55, 70, 90, 200])] + text(r, r.randrange(0, 9))) for i in range(60)]
+    docs += [(100 + i, text(r, 4) + footer[20:75] + text(r, 9)) for i in range(8)]
+    df = spark.createDataFrame(docs, "doc long, body string").repartition(3)
+    want, at = pairs_by_hand(docs, 60)
+    for most in (4000, 12, 1):
+        places = shared_places(df, "doc", "body", 60, most).cache()
+        assert {tuple(x) for x in sharing_pairs(places).collect()} == want
+        cover = {x.doc: x.shared_chars for x in shared_portion(df, "doc", "body", places).collect()}
+        assert cover == portion_by_hand(docs, at, 60)
+        stretches = {(x.id, x.start, x.end) for x in places.select("id", "start", "end").collect()}
+        lines = dict(docs)
+        assert all(e - s >= 60 and len(at[lines[i][s : s + 60]]) > 1 and len(at[lines[i][e - 60 : e]]) > 1 for i, s, e in stretches)
+        sizes = [tuple(x) for x in class_members(places).groupBy("class").agg(F.count("id"), F.max("n"), F.min("n")).collect()]
+        assert sizes and all(a == b == c for _, a, b, c in sizes)
+
+
 def test_very_long_text(spark, monkeypatch):
     import gitsift.llm.spans as spans
 
@@ -283,6 +306,31 @@ def test_smaller_total(spark):
     assert abs(got["a"] - 5000) <= 200 and abs(got["b"] - 5000) <= 300
 
 
+def test_unsettled_multipliers_are_an_error(spark):
+    cells = spark.createDataFrame([("a", n, 3) for n in range(1, 90)] + [("b", 7, 5)], "source string, n_tokens long, n long")
+    targets = targets_of(spark, [("a", 0.5, 4), ("b", 0.5, 4)])
+    assert balance(cells, targets, None)["a"].done
+    with pytest.raises(RuntimeError, match="1 steps"):
+        balance(cells, targets, None, max_steps=1)
+
+
+def test_sums_before(spark):
+    r = random.Random(4)
+    cells = sorted({(r.choice("xy"), r.randrange(4), r.randrange(3), r.randrange(3)) for _ in range(60)})
+    df = spark.createDataFrame([(*c, k) for k, c in enumerate(cells)], "s string, a int, b int, c int, v long").repartition(3)
+    got = {(x.s, x.a, x.b, x.c): x.before for x in sums_before(df, ["s"], ["a", "b", "c"], "v").collect()}
+    assert got == {c: sum(k for k, d in enumerate(cells) if d[0] == c[0] and d < c) for c in cells}
+
+
+def test_one_length_in_slices(spark):
+    sizes = {"a": [40] * 900, "b": [40] * 600 + list(range(1, 60))}
+    counts, targets = counts_of(spark, sizes), targets_of(spark, [("a", 0.3, 2), ("b", 0.7, 2)])
+    for kw in ({}, {"rows_a_group": 50}, {"rows_a_group": 50, "most_cut": 5}):
+        got = {x.source: (x.t, x.n, x.most) for x in mix(counts, targets, **kw).groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("t"), F.count(F.lit(1)).alias("n"), F.max("copies").alias("most")).collect()}
+        total = 2 * sum(sizes["b"]) / 0.7
+        assert abs(got["a"][0] - 0.3 * total) <= 40 and got["b"][0] == 2 * sum(sizes["b"]) and (got["a"][1], got["b"][1]) == (900, 659)
+
+
 def test_nothing_to_mix(spark):
     none = counts_of(spark, {})
     t = targets_of(spark, [("a", 1.0, 1)])
