@@ -13,8 +13,12 @@ from gitsift.session import stage, table
 
 MIN_SPAN = 300
 
+# Every window of 300 characters as a row of its own: fit for the small tables that SQL is run on.
+_WINDOWS = """WITH d AS (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS i FROM documents WHERE length(text) >= 300),
+w AS (SELECT doc_id, i, substring(text, i, 300) AS s FROM d), m AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1), x AS (SELECT w.doc_id, w.i, w.s FROM w JOIN m USING (s))"""
 
-@R.query()
+
+@R.query(_WINDOWS + """ SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM x a JOIN x b ON a.s = b.s AND a.doc_id < b.doc_id""")
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with a common substring of at least 300 characters."""
     pairs = sharing_pairs(shared_places(table(spark, sf_dir, "documents"), "doc_id", "text", MIN_SPAN))
@@ -28,7 +32,8 @@ def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("class", F.col("id").alias("doc_id"), (F.col("n") - 1).alias("n_links"))
 
 
-@R.query()
+@R.query(_WINDOWS + """, c AS (SELECT doc_id, sum(least(300, coalesce(next - i, 300))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM x) GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, coalesce(n, 0)::BIGINT AS shared_chars, CASE WHEN length(text) > 0 THEN round(coalesce(n, 0) / length(text), 6) ELSE 0 END AS portion FROM documents LEFT JOIN c USING (doc_id)""")
 def p9_shared_portion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many of its characters stand in spans of at least 300 that another document has too."""
     documents = table(spark, sf_dir, "documents")
