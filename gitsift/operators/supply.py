@@ -2,46 +2,37 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gitsift.functions import commits as C
 
 GO_HOSTS = ("github.com/", "gitlab.com/")
+KINDS = ("own", "host", "word", "order")  # forms of a popular name that others are confused with
 
 
-def alternative_forms(name: str, ecosystem: str, hosts: tuple[str, str] = GO_HOSTS) -> Iterator[str]:
-    """Names that a popular name is confused with: its hyphen words in any order, and for Go the other host and go/golang."""
-    words = name.split("-")
-    if len(words) > 1:
-        yield from ("-".join(p) for p in itertools.permutations(words))
-    if ecosystem == "go":
+def popular_forms(popular: DataFrame, hosts: tuple[str, str] = GO_HOSTS, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(ecosystem, name, form): each entry under the forms of it that can be written out: its own, and for Go those on the other
+    host, and with one word that holds go or golang changed to the other or left out. Other orders of its words are not written out."""
+    name, words = F.col("name"), F.split("name", "-", -1)
+    forms = [F.array(name)] if "own" in kinds else []
+    go = []
+    if "host" in kinds:
         for a, b in (hosts, hosts[::-1]):
-            if name.startswith(a):
-                yield b + name[len(a) :]
-        for i, w in enumerate(words):
-            other = w.replace("golang", "go") if "golang" in w else w.replace("go", "golang")
-            if other != w:
-                yield "-".join([*words[:i], other, *words[i + 1 :]])
-                yield "-".join([*words[:i], *words[i + 1 :]])
-
-
-def popular_forms(popular: DataFrame, hosts: tuple[str, str] = GO_HOSTS) -> DataFrame:
-    """(ecosystem, name, form): each entry under its own name and its alternative forms."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for eco, name in zip(frame["ecosystem"], frame["name"]):
-                forms = itertools.chain([name], alternative_forms(name, eco, hosts))
-                while part := list(itertools.islice(forms, 10_000)):
-                    yield pd.DataFrame({"ecosystem": eco, "name": name, "form": part})
-
+            go.append(F.when(name.startswith(a), F.array(F.concat(F.lit(b), F.substring(name, F.lit(len(a) + 1), F.length(name))))).otherwise(F.array().cast("array<string>")))
+    if "word" in kinds:
+        w = lambda i: F.get(words, i)
+        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: w(i).contains("go"))
+        before, after = (lambda i: F.slice(words, 1, i)), (lambda i: F.slice(words, i + 2, F.size(words)))
+        other = lambda i: F.when(w(i).contains("golang"), F.replace(w(i), F.lit("golang"), F.lit("go"))).otherwise(F.replace(w(i), F.lit("go"), F.lit("golang")))
+        go.append(F.transform(places, lambda i: F.array_join(F.concat(before(i), F.array(other(i)), after(i)), "-")))
+        go.append(F.transform(places, lambda i: F.array_join(F.concat(before(i), after(i)), "-")))
+    if go:
+        forms.append(F.when(F.col("ecosystem") == "go", F.concat(*go)).otherwise(F.array().cast("array<string>")))
     rows = popular.select("ecosystem", "name").where("ecosystem is not null and name is not null").distinct()
-    return rows.mapInPandas(run, "ecosystem string, name string, form string").distinct()
+    return rows.select("ecosystem", "name", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *forms))).alias("form"))
 
 
 def _shortened(name: Column) -> Column:
@@ -58,18 +49,51 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | (same & F.exists(places, lambda i: swapped(i) == b))
 
 
-def typosquats(names: DataFrame, popular: DataFrame, hosts: tuple[str, str] = GO_HOSTS) -> DataFrame:
+def _letters(name: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(name, "")), "")
+
+
+def one_edit_any_order(a: Column, b: Column) -> Column:
+    """Whether ``a`` is at most one edit from ``b`` with its hyphen words in some order.
+
+    An edit touches one word, or two at the hyphen between them. So a stretch of one or two words of ``a`` is compared with the
+    one or two words of ``b`` that remain when the other words of ``a`` are taken out of it.
+    """
+    words, theirs = F.split(a, "-", -1), F.split(b, "-", -1)
+
+    def taken(left: Column, word: Column) -> Column:
+        at = F.array_position(left, word).cast("int")
+        return F.when(at > 0, F.concat(F.slice(left, F.lit(1), at - 1), F.slice(left, at + 1, F.size(left))))
+
+    def meets(i: Column, n: int) -> Column:
+        rest = F.concat(F.slice(words, F.lit(1), i), F.slice(words, i + n + 1, F.size(words)))
+        remains = F.aggregate(rest, theirs, taken)
+        own = F.array_join(F.slice(words, i + 1, n), "-")
+        near = one_edit(own, F.array_join(remains, "-")) | one_edit(own, F.array_join(F.reverse(remains), "-"))
+        return F.coalesce(F.size(remains).isin(1, 2) & near, F.lit(False))
+
+    place = lambda n: F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+    return F.exists(place(1), lambda i: meets(i, 1)) | F.exists(place(2), lambda i: meets(i, 2))
+
+
+def typosquats(names: DataFrame, popular: DataFrame, hosts: tuple[str, str] = GO_HOSTS, kinds: Sequence[str] = KINDS) -> DataFrame:
     """(ecosystem, name, match): names that are no entry but one edit from one, or from an alternative form; the first match by bytes.
 
     Instead of comparing all names with all entries, both are joined on what they have in
     common when one edit apart: the name itself or the name short of one character. A swap of neighbours
-    shares such a shortened form too. Null names have no match.
+    shares such a shortened form too. For other orders of the words of an entry (any number of words), both are joined in the same
+    way on their letters in order. Null names have no match. ``kinds``: the forms that count.
     """
     asked = names.select("ecosystem", "name").where("ecosystem is not null and name is not null").distinct()
     asked = asked.join(popular.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_anti")
     left = asked.select("ecosystem", "name", F.explode(_shortened(F.col("name"))).alias("key"))
-    right = popular_forms(popular, hosts).select("ecosystem", F.col("name").alias("match"), "form", F.explode(_shortened(F.col("form"))).alias("key"))
-    hits = left.join(right, ["ecosystem", "key"]).where(one_edit(F.col("name"), F.col("form")))
+    right = popular_forms(popular, hosts, kinds).select("ecosystem", F.col("name").alias("match"), "form", F.explode(_shortened(F.col("form"))).alias("key"))
+    hits = left.join(right, ["ecosystem", "key"]).where(one_edit(F.col("name"), F.col("form"))).select("ecosystem", "name", "match")
+    if "order" in kinds:
+        many = popular.select("ecosystem", F.col("name").alias("match")).where(F.col("match").contains("-") & F.col("ecosystem").isNotNull()).distinct()
+        key = lambda c: F.explode(_shortened(_letters(F.col(c)))).alias("key")
+        met = asked.select("ecosystem", "name", key("name")).join(many.select("ecosystem", "match", key("match")), ["ecosystem", "key"]).select("ecosystem", "name", "match").distinct()
+        hits = hits.unionByName(met.where(one_edit_any_order(F.col("name"), F.col("match"))))
     return hits.groupBy("ecosystem", "name").agg(F.min("match").alias("match"))
 
 

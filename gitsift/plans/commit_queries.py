@@ -12,6 +12,7 @@ from gitsift.functions import commits as C
 from gitsift.functions import scoring as S
 from gitsift.operators import extract, profiles, supply
 from gitsift.operators.detect import detect, is_bot
+from gitsift.plans.detect_sql import detect_sql
 from gitsift.plans.profile_queries import C as COMMITS
 from gitsift.plans.profile_queries import LONG, _commits, _fits
 from gitsift.plans.registry import Registry
@@ -41,40 +42,86 @@ def raw_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.single_parent(table(spark, sf_dir, "raw_commits")).drop("authored_ts")
 
 
-def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of source ``patch`` read as the patch of one manifest each."""
-    d = table(spark, sf_dir, "documents").where(F.col("source") == "patch")
-    none = F.lit(None)
-    return d.select(
-        F.col("doc_id").alias("seq"), F.lit(0).alias("file_ord"), F.lit("web/package.json").alias("a_path"), F.lit("web/package.json").alias("b_path"), F.lit(False).alias("is_new"), F.lit(False).alias("is_deleted"),
-        F.col("text").alias("patch"), none.cast("binary").alias("header"),
+# A view of changed files made from the documents: each is the patch of one file, four in turn make up a commit. Lines of npm dependencies
+# are written in the notation of the manifest that the file is.
+PATHS = ["web/package.json", "svc/go.mod", "Gemfile", "requirements.txt", "src/app.py", "docs/v1.2/LICENSE", "assets/logo.PNG"]
+HEADERS = ["4D5A9000", "7F454C46", "FEEDFACE", "89504E47"]
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, i = table(spark, sf_dir, "documents"), F.col("doc_id")
+    pick = lambda xs, k: F.get(F.array(*[F.lit(x) for x in xs]), k.cast("int"))
+    dep = r'"([\w-]+)": "\^([\d.]+)",'
+    rows = d.select("doc_id", "text", pick(PATHS, i % 7).alias("path"), (i % 5 == 0).alias("is_new"), ((i % 5 != 0) & (i % 11 == 1)).alias("is_deleted"))
+    patch = F.when(F.col("path") == "svc/go.mod", F.regexp_replace("text", dep, r"$1.example/mod v$2")).when(F.col("path") == "Gemfile", F.regexp_replace("text", dep, r'gem "$1", "~> $2"')).otherwise(F.col("text"))
+    return rows.select(
+        F.expr("doc_id div 4").alias("seq"), (i % 4).cast("int").alias("file_ord"), F.when(~F.col("is_new"), F.col("path")).alias("a_path"), F.when(~F.col("is_deleted"), F.col("path")).alias("b_path"), "is_new", "is_deleted",
+        patch.alias("patch"), F.when(F.col("is_new"), F.unhex(pick(HEADERS, F.expr("(doc_id div 5) % 4")))).alias("header"),
     )
 
 
-_LINES = r"""
-WITH l AS (SELECT doc_id AS seq, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ord FROM documents WHERE source = 'patch'),
-d AS (SELECT * FROM l WHERE NOT starts_with(line, '+++') AND NOT starts_with(line, '---'))
+_FILES = r"""
+p AS (SELECT doc_id, doc_id // 4 AS seq, (doc_id % 4)::INT AS file_ord, ['web/package.json', 'svc/go.mod', 'Gemfile', 'requirements.txt', 'src/app.py', 'docs/v1.2/LICENSE', 'assets/logo.PNG'][doc_id % 7 + 1] AS path,
+  doc_id % 5 = 0 AS is_new, doc_id % 5 <> 0 AND doc_id % 11 = 1 AS is_deleted, text FROM documents),
+f AS (SELECT *, CASE path WHEN 'svc/go.mod' THEN regexp_replace(text, '"([\w-]+)": "\^([\d.]+)",', '\1.example/mod v\2', 'g') WHEN 'Gemfile' THEN regexp_replace(text, '"([\w-]+)": "\^([\d.]+)",', 'gem "\1", "~> \2"', 'g') ELSE text END AS patch FROM p),
+l AS (SELECT seq, file_ord, path, unnest(string_split(coalesce(patch, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(patch, ''), chr(10)), 1) AS ord FROM f),
+d AS (SELECT seq, file_ord, path, ord, line[1] AS sign, line[2:] AS body FROM l WHERE line[1] IN ('+', '-') AND NOT starts_with(line, '+++') AND NOT starts_with(line, '---'))
 """
+_COUNTS = """n AS (SELECT seq, (count(*) FILTER (sign = '+'))::BIGINT AS loc_added, (count(*) FILTER (sign = '-'))::BIGINT AS loc_removed FROM d GROUP BY seq),
+w AS (SELECT seq, count(*)::INT AS files_changed, (count(*) FILTER (is_new))::INT AS files_added, (count(*) FILTER (is_deleted))::INT AS files_removed FROM f GROUP BY seq),
+m AS (SELECT seq, coalesce(loc_added, 0) + coalesce(loc_removed, 0) AS total_loc, coalesce(loc_added, 0) AS loc_added, coalesce(loc_removed, 0) AS loc_removed, files_changed, files_added, files_removed FROM w LEFT JOIN n USING (seq))"""
 
 
-@R.query(_LINES + """SELECT seq, count(*) FILTER (line[1] = '+') + count(*) FILTER (line[1] = '-') AS total_loc, count(*) FILTER (line[1] = '+') AS loc_added, count(*) FILTER (line[1] = '-') AS loc_removed
-FROM d RIGHT JOIN (SELECT doc_id AS seq FROM documents WHERE source = 'patch') USING (seq) GROUP BY seq""")
+@R.query(f"WITH {_FILES}, {_COUNTS} SELECT * FROM m")
 def patch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines added and removed by each patch."""
-    return extract.line_counts(_patches(spark, sf_dir)).select("seq", "total_loc", "loc_added", "loc_removed")
-
-
-@R.query(_LINES + r""", k AS (SELECT seq, line[1] AS sign, ord, regexp_extract(line[2:], '^\s*"([^"]+)"\s*:\s*"([^"]*)"\s*,?\s*$', 1) AS name, regexp_extract(line[2:], '^\s*"([^"]+)"\s*:\s*"([^"]*)"\s*,?\s*$', 2) AS spec FROM d
-  WHERE line[1] IN ('+', '-') AND regexp_matches(line[2:], '^\s*"([^"]+)"\s*:\s*"([^"]*)"\s*,?\s*$')),
-""" + f"""m AS (SELECT seq, name, max_by(spec, ord) FILTER (sign = '+') AS new_spec, max_by(spec, ord) FILTER (sign = '-') AS old_spec FROM k WHERE name NOT IN ({", ".join(repr(x) for x in C.NPM_OTHER_KEYS)}) AND NOT starts_with(name, '_') GROUP BY ALL)
-SELECT seq, 'npm' AS ecosystem, name, old_spec, new_spec FROM m WHERE new_spec IS NOT NULL AND old_spec IS DISTINCT FROM new_spec""")
+    """Lines and files added and removed by each commit."""
+    return extract.line_counts(_changes(spark, sf_dir))
+
+
+_DEPS = r"""
+k AS (SELECT seq, file_ord, sign, ord, 'npm' AS ecosystem, regexp_extract(body, '^\s*"([^"]+)"\s*:\s*"([^"]*)"\s*,?\s*$', 1) AS name, regexp_extract(body, '^\s*"([^"]+)"\s*:\s*"([^"]*)"\s*,?\s*$', 2) AS spec FROM d
+    WHERE path = 'web/package.json' AND regexp_matches(body, '^\s*"([^"]+)"\s*:\s*"([^"]*)"\s*,?\s*$') AND NOT starts_with(trim(body)[2:], '_') AND regexp_extract(body, '"([^"]+)"', 1) NOT IN ('name', 'version', 'description', 'main', 'license', 'author', 'homepage',
+      'repository', 'scripts', 'engines', 'private', 'type', 'module', 'exports', 'files', 'keywords', 'bin', 'browser', 'sideEffects', 'packageManager', 'types', 'typings', 'publishConfig', 'funding', 'bugs', 'directories')
+  UNION ALL SELECT seq, file_ord, sign, ord, 'go', regexp_extract(body, '^\s*([\w\-.]+\.[\w\-.]+(?:/[\w\-./]+)*)\s+(v[\w.\-+]+)', 1), regexp_extract(body, '^\s*([\w\-.]+\.[\w\-.]+(?:/[\w\-./]+)*)\s+(v[\w.\-+]+)', 2) FROM d
+    WHERE path = 'svc/go.mod' AND regexp_matches(body, '^\s*([\w\-.]+\.[\w\-.]+(?:/[\w\-./]+)*)\s+(v[\w.\-+]+)')
+  UNION ALL SELECT seq, file_ord, sign, ord, 'rubygems', regexp_extract(body, '^\s*gem\s+["'']([\w\-.]+)["''](?:\s*,\s*["'']([^"'']*)["''])?', 1), regexp_extract(body, '^\s*gem\s+["'']([\w\-.]+)["''](?:\s*,\s*["'']([^"'']*)["''])?', 2) FROM d
+    WHERE path = 'Gemfile' AND regexp_matches(body, '^\s*gem\s+["'']([\w\-.]+)["''](?:\s*,\s*["'']([^"'']*)["''])?')
+  UNION ALL SELECT seq, file_ord, sign, ord, 'pypi', lower(regexp_extract(trim(body), '^([A-Za-z0-9][\w\-.]*)\s*([=<>!~][^\s#]*)?', 1)), regexp_extract(trim(body), '^([A-Za-z0-9][\w\-.]*)\s*([=<>!~][^\s#]*)?', 2) FROM d
+    WHERE path = 'requirements.txt' AND regexp_matches(trim(body, E' \t\r'), '^[A-Za-z0-9]')),
+g AS (SELECT seq, file_ord, ecosystem, name, max_by(spec, ord) FILTER (sign = '+') AS new_spec, max_by(spec, ord) FILTER (sign = '-') AS old_spec, min(ord) FILTER (sign = '+') AS ord FROM k GROUP BY ALL),
+c AS (SELECT * FROM g WHERE new_spec IS NOT NULL AND old_spec IS DISTINCT FROM new_spec)
+""".replace("trim(body)", r"trim(body, E' \t\r')")
+
+
+@R.query(f"WITH {_FILES}, {_DEPS} SELECT seq, ecosystem, name, old_spec, new_spec FROM c")
 def dependency_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dependencies that each patch adds (no old specification) or changes."""
-    d = extract.dependency_changes(_patches(spark, sf_dir))
+    """Dependencies that each commit adds (no old specification) or changes, in all four kinds of manifest."""
+    d = extract.dependency_changes(_changes(spark, sf_dir))
     new = d.select("seq", F.explode("new_deps").alias("x")).select("seq", "x.ecosystem", "x.name", F.lit(None).cast("string").alias("old_spec"), F.col("x.spec").alias("new_spec"))
     return new.unionByName(d.select("seq", F.explode("changed_deps").alias("x")).select("seq", "x.ecosystem", "x.name", "x.old_spec", "x.new_spec"))
 
 
+@R.query(f"""WITH {_FILES}, {_COUNTS}, {_DEPS},
+dn AS (SELECT seq, string_agg(ecosystem || ':' || name || ':' || new_spec, '|' ORDER BY file_ord, ord) FILTER (old_spec IS NULL) AS new_deps, string_agg(ecosystem || ':' || name || ':' || old_spec || '>' || new_spec, '|' ORDER BY file_ord, ord) FILTER (old_spec IS NOT NULL) AS changed_deps FROM c GROUP BY seq),
+pt AS (SELECT seq, string_agg(CASE path WHEN 'web/package.json' THEN '.json' WHEN 'svc/go.mod' THEN '.mod' WHEN 'requirements.txt' THEN '.txt' WHEN 'src/app.py' THEN '.py' WHEN 'assets/logo.PNG' THEN '.PNG' END, '|' ORDER BY file_ord) AS filetypes,
+  string_agg(CASE WHEN contains(path, '/') THEN string_split(path, '/')[1] ELSE '(root)' END, '|' ORDER BY file_ord) AS top_dirs,
+  string_agg(path || '=' || ['PE/EXE (Windows)', 'ELF (Linux)', 'Mach-O 32-bit'][(doc_id // 5) % 4 + 1], '|' ORDER BY file_ord) FILTER (is_new AND (doc_id // 5) % 4 < 3) AS binaries FROM f GROUP BY seq)
+SELECT seq, total_loc, files_changed, coalesce(filetypes, '') AS filetypes, top_dirs, coalesce(new_deps, '') AS new_deps, coalesce(changed_deps, '') AS changed_deps, coalesce(binaries, '') AS binaries FROM m JOIN pt USING (seq) LEFT JOIN dn USING (seq)""")
+def file_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the changed files of each commit give: lines, types, directories, dependencies, disguised binaries."""
+    changes = _changes(spark, sf_dir)
+    out = extract.line_counts(changes)
+    for part in (extract.paths_of(changes), extract.dependency_changes(changes), extract.bundled_binaries(changes)):
+        out = out.join(part, "seq", "left")
+    text = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), "|"), F.lit("")).alias(c)
+    join = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    return out.select(
+        "seq", "total_loc", "files_changed", F.array_join("filetypes", "|").alias("filetypes"), F.array_join("top_dirs", "|").alias("top_dirs"),
+        text("new_deps", lambda x: join(x["ecosystem"], ":", x["name"], ":", x["spec"])), text("changed_deps", lambda x: join(x["ecosystem"], ":", x["name"], ":", x["old_spec"], ">", x["new_spec"])),
+        F.coalesce(F.array_join(F.transform("new_binary_files", lambda x: join(x["path"], "=", x["kind"])), "|"), F.lit("")).alias("binaries"),
+    )
+
+
 @R.query(rf"""WITH {COMMITS}, n AS (SELECT DISTINCT d.ecosystem AS ecosystem, d.name AS name FROM (SELECT unnest(new_deps) AS d FROM c)),
 a AS (SELECT n.* FROM n ANTI JOIN popular USING (ecosystem, name)),
 f AS (SELECT ecosystem, name, name AS form FROM popular UNION SELECT ecosystem, name, replace(name, '{HOSTS[0]}', '{HOSTS[1]}') FROM popular WHERE ecosystem = 'go' AND starts_with(name, '{HOSTS[0]}')
@@ -83,23 +130,29 @@ SELECT a.ecosystem, a.name, min(f.name) AS match FROM a JOIN f ON a.ecosystem =
 def typosquat_one_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New dependencies one edit from a popular name, or from a Go name on the other host (word order and go/golang are tested apart)."""
     deps = _commits(spark, sf_dir, "new_deps").select(F.explode("new_deps").alias("d")).select("d.ecosystem", "d.name")
-    found = supply.typosquats(deps, table(spark, sf_dir, "popular"), HOSTS)
-    popular = table(spark, sf_dir, "popular").select("ecosystem", F.col("name").alias("form"))
-    swapped = popular.where("ecosystem = 'go'").select("ecosystem", F.when(F.col("form").startswith(HOSTS[0]), F.replace("form", F.lit(HOSTS[0]), F.lit(HOSTS[1]))).otherwise(F.replace("form", F.lit(HOSTS[1]), F.lit(HOSTS[0]))).alias("form"), F.col("form").alias("entry"))
-    forms = popular.withColumn("entry", F.col("form")).unionByName(swapped)
-    near = found.select("ecosystem", "name").join(forms, "ecosystem").where(F.abs(F.length("name") - F.length("form")) <= 1).where(supply.one_edit(F.col("name"), F.col("form")))
-    return near.groupBy("ecosystem", "name").agg(F.min("entry").alias("match"))
+    return supply.typosquats(deps, table(spark, sf_dir, "popular"), HOSTS, ("own", "host"))
+
+
+_FORMS = rf"""perm AS (SELECT ecosystem, name, []::VARCHAR[] AS used, string_split(name, '-') AS rest FROM popular WHERE contains(name, '-')
+  UNION ALL SELECT ecosystem, name, list_append(used, rest[i]), list_concat(rest[1:i - 1], rest[i + 1:]) FROM (SELECT *, unnest(range(1, len(rest) + 1)) AS i FROM perm)),
+gw AS (SELECT name, words, i, words[i] AS w FROM (SELECT name, string_split(name, '-') AS words, unnest(range(1, len(string_split(name, '-')) + 1)) AS i FROM popular WHERE ecosystem = 'go') WHERE contains(words[i], 'go')),
+form AS (SELECT ecosystem, name, name AS form FROM popular UNION SELECT ecosystem, name, array_to_string(used, '-') FROM perm WHERE len(rest) = 0
+  UNION SELECT 'go', name, replace(name, '{HOSTS[0]}', '{HOSTS[1]}') FROM popular WHERE ecosystem = 'go' AND starts_with(name, '{HOSTS[0]}') UNION SELECT 'go', name, replace(name, '{HOSTS[1]}', '{HOSTS[0]}') FROM popular WHERE ecosystem = 'go' AND starts_with(name, '{HOSTS[1]}')
+  UNION SELECT 'go', name, array_to_string(list_concat(words[1:i - 1], [CASE WHEN contains(w, 'golang') THEN replace(w, 'golang', 'go') ELSE replace(w, 'go', 'golang') END], words[i + 1:]), '-') FROM gw
+  UNION SELECT 'go', name, array_to_string(list_concat(words[1:i - 1], words[i + 1:]), '-') FROM gw)"""
+_SQUATS = r"""sq_n AS (SELECT sha, unnest(new_deps) AS d, generate_subscripts(new_deps, 1) AS ord FROM c), sq_a AS (SELECT DISTINCT d.ecosystem AS ecosystem, d.name AS name FROM sq_n), sq_o AS (SELECT sq_a.* FROM sq_a ANTI JOIN popular USING (ecosystem, name)),
+sq_h AS (SELECT sq_o.ecosystem, sq_o.name, min(form.name) AS match FROM sq_o JOIN form ON sq_o.ecosystem = form.ecosystem AND damerau_levenshtein(regexp_replace(sq_o.name, '[^\x00-\x7F]', '~', 'g'), form.form) <= 1 GROUP BY ALL),
+z AS (SELECT sha, min_by({'ecosystem': sq_h.ecosystem, 'name': sq_h.name, 'match': sq_h.match}, ord) AS h FROM sq_n JOIN sq_h ON sq_n.d.ecosystem = sq_h.ecosystem AND sq_n.d.name = sq_h.name GROUP BY sha)"""
 
 
-@R.query()
+@R.query(f"""WITH RECURSIVE {COMMITS}, {_FORMS}, {_SQUATS} SELECT sha, h.ecosystem AS ecosystem, h.name AS name, h.match AS match FROM z""")
 def typosquats_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per commit: the first new dependency that resembles a popular name or one of its alternative forms."""
     commits = _commits(spark, sf_dir, "new_deps")
     return supply.first_typosquat(commits, table(spark, sf_dir, "popular"), HOSTS).select("sha", "typosquat.ecosystem", "typosquat.name", "typosquat.match")
 
 
-# Narrower than C.DIRECT_URL: specs in capitals or after white space, which the tables do not hold, are no URL in the SQL.
-_SQL_URL = r"^(?:https?://|git\+|git://|ssh://|[\w.-]+/[\w.-]+#)"
+_SQL_URL = r"(?i)^\s*(?:https?://|git\+|git://|ssh://|[\w.-]+/[\w.-]+#)"
 
 
 @R.query(rf"""WITH {COMMITS}, w AS (SELECT sha, list_filter(changed_deps, lambda d: regexp_matches(d.new_spec, '{_SQL_URL}') AND NOT regexp_matches(d.old_spec, '{_SQL_URL}'))[1] AS a,
@@ -138,7 +191,21 @@ def rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@R.query()
+@R.query(r"""WITH d AS (SELECT doc_id, text AS t FROM documents WHERE text <> ''),
+b AS (SELECT doc_id, t, regexp_matches(t, '\bsubprocess\.(?:run|call|Popen)\b|\bos\.system\s*\(|\bchild_process\b|\bexecSync\s*\(') AS spawns, regexp_matches(t, '\burllib\.request\b|\brequests\.get\s*\(|\bfetch\s*\(|\b(?:curl|wget)\s+-?') AS downloads,
+  regexp_matches(t, '\bgetpass\.getuser\b')::INT + regexp_matches(t, '\bplatform\.node\b')::INT + regexp_matches(t, '\bsocket\.gethostname\b')::INT + regexp_matches(t, '\bos\.uname\b')::INT AS asks,
+  regexp_matches(t, '"\^\d+\.\d+\.\d+"')::INT + contains(t, '+++ b/')::INT + regexp_matches(t, '^@@ -\d+')::INT AS pins, len(list_filter(string_split(t, '"')[2:-2], lambda x: regexp_full_match(x, '\s*\+\s*'))) AS glued FROM d),
+r AS (SELECT doc_id, unnest([
+  CASE WHEN downloads THEN {'rule_id': 'downloads', 'severity': 'medium'} END, CASE WHEN spawns AND downloads THEN {'rule_id': 'download_and_run', 'severity': 'high'} END,
+  CASE WHEN regexp_matches(t, '\bshutil\.rmtree\s*\(|\bfs\.rmSync\s*\(|\brm\s+-rf\s') THEN {'rule_id': 'deletes_files', 'severity': 'low'} END,
+  CASE WHEN contains(t, '.ssh/id_rsa') OR contains(t, '.aws/credentials') OR regexp_matches(t, '(?i)(?:secret|token)_?key') THEN {'rule_id': 'reads_secrets', 'severity': 'high'} END,
+  CASE WHEN asks >= 2 THEN {'rule_id': 'enumerates_host', 'severity': 'medium'} END, CASE WHEN regexp_matches(t, '"(?:pre|post)install"\s*:\s*"[^"]+"') THEN {'rule_id': 'install_hook', 'severity': 'high'} END,
+  CASE WHEN len(regexp_extract_all(t, '":\s*"https?://')) > len(regexp_extract_all(t, '":\s*"https?://registry\.')) + 1 THEN {'rule_id': 'many_http_specs', 'severity': 'high'} END,
+  CASE WHEN len(regexp_extract_all(t, '\\x[0-9a-fA-F]{2}')) >= 20 THEN {'rule_id': 'hex_escapes', 'severity': 'medium'} END,
+  CASE WHEN glued >= 20 OR regexp_matches(t, '\beval\s*\(') AND NOT regexp_matches(t, '\bast\.literal_eval\b') THEN {'rule_id': 'string_glue', 'severity': 'low'} END,
+  CASE WHEN regexp_matches(t, '\p{Latin}\p{Cyrillic}|\p{Cyrillic}\p{Latin}|\p{Latin}\p{Greek}|\p{Greek}\p{Latin}') THEN {'rule_id': 'mixed_scripts', 'severity': 'medium'} END,
+  CASE WHEN len(regexp_extract_all(t, '\braise\s+\w+Error\(')) >= 2 THEN {'rule_id': 'raises_errors', 'severity': 'low'} END, CASE WHEN pins >= 2 THEN {'rule_id': 'versions_pinned', 'severity': 'low'} END]) AS h FROM b)
+SELECT doc_id, h.rule_id AS rule_id, h.severity AS severity FROM r WHERE h IS NOT NULL""")
 def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the built-in rules in all documents: every rule, whatever paths it is for, over the whole text."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit("document").alias("path"), "text")
@@ -182,13 +249,16 @@ def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "commits"), table(spark, sf_dir, "popular"), disposable, domains, AS_OF, hosts=HOSTS)
 
 
-@R.query()
+_SCORED = detect_sql(_FORMS, _SQUATS, _SQL_URL, str(AS_OF))
+
+
+@R.query(_SCORED + "SELECT * REPLACE (coalesce(files_changed, -1) AS files_changed, coalesce(commit_msg_words, -1) AS commit_msg_words) FROM scored")
 def detect_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score, decision and reasons of the latest commits of every repository."""
-    return _detected(spark, sf_dir)
+    """Score, decision and reasons of the latest commits of every repository; the reasons as one text, as in the written results, unknown sizes as -1."""
+    return files.flat(_detected(spark, sf_dir)).fillna(-1, ["files_changed", "commit_msg_words"])
 
 
-@R.query()
+@R.query(_SCORED + "SELECT repo, count(*) AS scored, count(*) FILTER (decision = 'Unusual') AS flagged FROM scored GROUP BY repo")
 def detect_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored and flagged commits per repository."""
     return files.flagged_counts(_detected(spark, sf_dir))
@@ -201,8 +271,8 @@ def stream_tail_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits = table(spark, sf_dir, "commits")
     one = _commits(spark, sf_dir, "repo", "total_loc")
     fits = profiles.tail_fits(profiles.metric_values(one, ["repo"], ["total_loc"]), ["repo", "metric"])
-    stream = spark.readStream.schema(commits.schema).option("pathGlobFilter", "*.parquet").parquet(scorer.folder_of(spark, sf_dir, "commits"))
-    unique = stream.where("sha is not null").withColumn("ingested_ts", F.col("ingested_ts").cast("timestamp")).withWatermark("ingested_ts", "3650 days").dropDuplicatesWithinWatermark(["sha"])
+    stream = scorer.read_stream(spark, f"{sf_dir}/commits.parquet", commits.schema).where("sha is not null").withColumn("ingested_ts", F.col("ingested_ts").cast("timestamp"))
+    unique = scorer.first_deliveries(stream)
     out = scratch_path(spark, "alerts")
     alerts = scorer.tail_alerts(unique, fits, "total_loc", 0.9)
     alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()

@@ -25,12 +25,13 @@ PROFILE = """k AS (SELECT *, max(seq) OVER (PARTITION BY repo, email) AS last_se
 LONG = "u AS (UNPIVOT (SELECT repo, email, sha, " + ", ".join(f"{m}::DOUBLE AS {m}" for m in P.METRICS) + " FROM c) ON " + ", ".join(P.METRICS) + " INTO NAME metric VALUE x)"
 
 
-def _fits(keys: str) -> str:
-    return f"""s AS (SELECT {keys}, metric, x FROM u),
-  e AS (SELECT {keys}, metric, x FROM s UNION ALL SELECT {keys}, metric, max(x) + 1 FROM s GROUP BY {keys}, metric HAVING min(x) = max(x)),
-  d AS (SELECT *, cume_dist() OVER (PARTITION BY {keys}, metric ORDER BY x) AS ecdf FROM e),
-  f AS (SELECT {keys}, metric, -regr_slope(ln(1 + 1e-6 - ecdf), ln(x + 1e-6)) AS beta, regr_intercept(ln(1 + 1e-6 - ecdf), ln(x + 1e-6)) AS icpt FROM d GROUP BY {keys}, metric),
-  fit AS (SELECT {keys}, metric, CASE WHEN beta = 0 THEN 0 ELSE exp(icpt / beta) END AS alpha, beta FROM f)"""
+def _fits(keys: str, tag: str = "") -> str:
+    s, e, d, f, fit = (x + tag for x in ("s", "e", "d", "f", "fit"))
+    return f"""{s} AS (SELECT {keys}, metric, x FROM u),
+  {e} AS (SELECT {keys}, metric, x FROM {s} UNION ALL SELECT {keys}, metric, max(x) + 1 FROM {s} GROUP BY {keys}, metric HAVING min(x) = max(x)),
+  {d} AS (SELECT *, cume_dist() OVER (PARTITION BY {keys}, metric ORDER BY x) AS ecdf FROM {e}),
+  {f} AS (SELECT {keys}, metric, -regr_slope(ln(1 + 1e-6 - ecdf), ln(x + 1e-6)) AS beta, regr_intercept(ln(1 + 1e-6 - ecdf), ln(x + 1e-6)) AS icpt FROM {d} GROUP BY {keys}, metric),
+  {fit} AS (SELECT {keys}, metric, CASE WHEN beta = 0 THEN 0 ELSE exp(icpt / beta) END AS alpha, beta FROM {f})"""
 
 
 def _commits(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -105,12 +106,25 @@ def habit_z_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("sha", z(F.log(F.col("gap_seconds") + 1), "gap"), z(F.log(F.col("commit_delay_seconds") + 1), "delay"), z(F.col("churn_ratio"), "churn"))
 
 
-@R.query()
+# erf(z) = 2 / sqrt(pi) exp(-z^2) sum of 2^k z^(2k+1) / (1 * 3 * ... * (2k+1)): all terms positive, so no digits are lost
+_ERF = """CASE WHEN {z} = 0 THEN 0 WHEN {z} > 5.9 THEN 1 ELSE 2 / sqrt(pi()) * list_sum(list_transform(range(0, 160), lambda k: exp(-{z} * {z} + k * ln(2) + (2 * k + 1) * ln({z}) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))))) END"""
+
+
+def _normal_sql(x: str, n: str, m: str, sd: str) -> str:
+    return f"CASE WHEN {x} IS NULL OR {n} IS NULL OR {n} < 5 OR {sd} IS NULL OR {sd} < 1.5 THEN 0.5 ELSE {_ERF.format(z=f'(abs({x} - {m}) / {sd} / sqrt(2))')} END"
+
+
+_HABITS = """a AS (SELECT repo, email, count(gap_seconds) AS gn, avg(ln(gap_seconds + 1)) AS gm, stddev_samp(ln(gap_seconds + 1)) AS gsd, count(commit_delay_seconds) AS dn, avg(ln(commit_delay_seconds + 1)) AS dm, stddev_samp(ln(commit_delay_seconds + 1)) AS dsd,
+  count(churn_ratio) AS cn, avg(churn_ratio) AS cm, stddev_samp(churn_ratio) AS csd FROM prof GROUP BY ALL)"""
+
+
+@R.query(f"""WITH {C}, {PROFILE}, {_HABITS}
+SELECT sha, round({_normal_sql("ln(gap_seconds + 1)", "gn", "gm", "gsd")}, 6) AS gap, round({_normal_sql("ln(commit_delay_seconds + 1)", "dn", "dm", "dsd")}, 6) AS delay, round({_normal_sql("churn_ratio", "cn", "cm", "csd")}, 6) AS churn FROM c JOIN a USING (repo, email)""")
 def habit_rarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as probabilities (error function); tested against math.erf."""
+    """The same as probabilities (error function)."""
     commits = _commits(spark, sf_dir, *NARROW)
     j = commits.join(P.author_profiles(commits).drop("hours", "weekdays"), ["repo", "email"])
-    r = lambda x, name: S.normal_rarity(x, F.col(f"{name}_n"), F.col(f"{name}_mean"), F.col(f"{name}_sd")).alias(name)
+    r = lambda x, name: F.round(S.normal_rarity(x, F.col(f"{name}_n"), F.col(f"{name}_mean"), F.col(f"{name}_sd")), 6).alias(name)
     return j.select("sha", r(F.log(F.col("gap_seconds") + 1), "gap"), r(F.log(F.col("commit_delay_seconds") + 1), "delay"), r(F.col("churn_ratio"), "churn"))
 
 

@@ -33,10 +33,14 @@ def read_domains(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(d.alias("domain")).where((F.col("domain") != "") & ~F.col("domain").startswith("#")).distinct()
 
 
+def flat(results: DataFrame) -> DataFrame:
+    """The lists of reasons as text, joined by `` | ``."""
+    return results.withColumns({c: F.array_join(c, " | ") for c in ("top_reasons", "top_reasons_explained")})
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Tab-separated files with a header; lists are joined by `` | ``."""
-    flat = results.withColumns({c: F.array_join(c, " | ") for c in ("top_reasons", "top_reasons_explained")})
-    flat.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    flat(results).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
 def report_lines(results: DataFrame) -> DataFrame:

@@ -105,13 +105,13 @@ def test_moves_and_signatures(spark, tmp_path):
 
 
 def test_stream_counts(spark, tmp_path):
-    from gitsift.streaming.scorer import daily_activity, read_stream
+    from gitsift.streaming.scorer import by_day, daily_activity, read_stream
 
     rows = [("a", "r", "x@y", 5, "2024-01-01 10:00:00"), ("a", "r", "x@y", 5, "2024-01-02 10:00:00"), ("b", "r", "z@y", 7, "2024-01-01 11:00:00"), ("c", "r", "z@y", 1, "2024-06-01 00:00:00")]
     for k, part in enumerate((rows[:3], rows[3:], [("d", "r", "q", 1, "2024-12-01 00:00:00")])):
         df = spark.createDataFrame(part, "sha string, repo string, email string, total_loc long, t string").withColumn("ingested_ts", F.col("t").cast("timestamp")).drop("t").coalesce(1)
         df.write.mode("append").parquet(str(tmp_path / "in"))
-        q = daily_activity(read_stream(spark, str(tmp_path / "in"), df.schema)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q = daily_activity(read_stream(spark, str(tmp_path / "in"), df.schema), "30 days").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
         q.awaitTermination()
-    got = {str(r.day.start)[:10]: (r.n_commits, r.total_loc, r.n_authors) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {str(r.day.start)[:10]: (r.n_commits, r.total_loc, r.n_authors) for r in by_day(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert got["2024-01-01"] == (2, 12, 2) and got["2024-06-01"] == (1, 1, 1) and "2024-01-02" not in got

@@ -1,4 +1,5 @@
 import random
+from itertools import permutations
 
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ def test_join_equals_brute_force(spark):
     want = {}
     for n in names:
         if n not in popular:
-            hit = [p for p in popular if any(osa(n, f) <= 1 for f in (p, *supply.alternative_forms(p, "npm")))]
+            hit = [p for p in popular if any(osa(n, "-".join(f)) <= 1 for f in permutations(p.split("-")))]
             if hit:
                 want[n] = min(hit)
     assert got == want
@@ -37,6 +38,29 @@ def test_forms_and_kinds_of_edit(spark):
     assert got == {("npm", n) for n in ("pad-left", "lef-pad", "leftt-pad", "lfet-pad", "left-pat", "left_pad")} | {("go", "gitlab.com/a/golang-x"), ("go", "github.com/a/go-x")}
 
 
+def test_many_words_in_any_order(spark):
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa", "zeta", "theta", "iota"]
+    entry = "-".join(words)
+    r = random.Random(1)
+    mixed = lambda: r.sample(words, 10)
+    near = ["-".join(mixed()) for _ in range(4)]
+    near += [x.replace("gamma", "gama") for x in near[:2]] + [near[0].replace("-", "", 1), near[1].replace("-", "x", 1), "-".join(mixed()).replace("theta", "the-ta"), "-".join(mixed()).replace("kappa", "ka-pa")]
+    m = mixed()
+    near.append("-".join([m[0] + m[1][0], m[1][1:], *m[2:]]))
+    far = ["-".join(["alpah", "btea", *words[2:][::-1]]), "-".join(words[:9]), "th-" + "-".join(w for w in words if w != "theta") + "-eta"]
+    df = spark.createDataFrame([("npm", x) for x in near + far], "ecosystem string, name string")
+    got = {x.name for x in supply.typosquats(df, spark.createDataFrame([("npm", entry)], "ecosystem string, name string")).collect()}
+    assert got == set(near)
+
+
+def test_forms_of_go_names(spark):
+    names = spark.createDataFrame([("go", "github.com/a/go-x"), ("npm", "go-x"), ("go", "ago-golangs-b")], "ecosystem string, name string")
+    got = {(x.name, x.form) for x in supply.popular_forms(names).collect()}
+    assert got == {
+        ("github.com/a/go-x", f) for f in ("github.com/a/go-x", "gitlab.com/a/go-x", "github.com/a/golang-x", "gitlab.com/a/go-x", "x")
+    } | {("go-x", "go-x")} | {("ago-golangs-b", f) for f in ("ago-golangs-b", "agolang-golangs-b", "golangs-b", "ago-gos-b", "ago-b")}
+
+
 def test_empty_lists(spark):
     none = spark.createDataFrame([], "ecosystem string, name string")
     some = spark.createDataFrame([("npm", "x")], "ecosystem string, name string")
