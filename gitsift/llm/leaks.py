@@ -59,7 +59,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
 
 @dataclass(frozen=True)
 class Tolerance:
-    """A passage of an item counts from ``least`` words (or the whole item, if shorter), with one word in ``per_edit`` changed, added or missing."""
+    """A passage of an item counts from ``least`` words (or the whole item, if shorter), with one word in ``per_edit`` changed, added or missing (0: none)."""
 
     least: int = 20
     per_edit: int = 10
@@ -68,13 +68,13 @@ class Tolerance:
     def longest(self) -> int:
         """Every passage within the tolerance holds one of at most so many words that is within it too: a longer one can be cut
         at a multiple of ``per_edit`` into two of at least ``least`` words, and not both parts can have more than their edits."""
-        return 2 * -(-self.least // self.per_edit) * self.per_edit - 1
+        return 2 * -(-self.least // self.per_edit) * self.per_edit - 1 if self.per_edit else self.least
 
     def lengths(self, n: int) -> range:
         return range(min(n, self.least), min(n, self.longest) + 1)
 
     def edits(self, length: int) -> int:
-        return length // self.per_edit
+        return length // self.per_edit if self.per_edit else 0
 
     def shared(self, n: int) -> int:
         """Shingles that a passage of an n-word item keeps at least: its edits cut it into edits + 1 runs."""
@@ -124,7 +124,7 @@ class SizeClass:
         self.low, self.tol = low, tol
         self.size = min(SHINGLE, low)
         # a passage holds one of the next lower of these lengths, with as many edits allowed
-        long = [high] if high else [k for k in range(tol.least, tol.longest + 1) if k == tol.least or k % tol.per_edit == 0]
+        long = [high] if high else [k for k in range(tol.least, tol.longest + 1) if k == tol.least or tol.edits(k) > tol.edits(k - 1)]
         shortest = high or tol.least  # the passage that a window must hold whole
         self.block = shortest + tol.edits(shortest) - self.size + 1
         if low < SHINGLE:

@@ -9,7 +9,7 @@ from gitsift.llm.cooccur import cooccurrence
 from gitsift.llm.ngrams import mark_terms, ngram_counts
 from gitsift.llm.quantiles import merge_sketches, percentiles, sketch
 from gitsift.llm.queries import R
-from gitsift.session import distinct_commits, table
+from gitsift.session import distinct_commits, stage, table
 
 ALPHA = 0.01
 METRICS = ("total_loc", "loc_added", "files_changed", "commit_msg_words")
@@ -40,6 +40,24 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(merge_sketches(both, keys), keys, PS, ALPHA).withColumn("value", F.round("value", 4))
 
 
+@R.query(f"""
+WITH c AS (SELECT sha, any_value(repo) AS repo, coalesce(strftime(any_value(authored_ts), '%Y-%m'), 'none') AS month, any_value(total_loc) AS total_loc, any_value(loc_added) AS loc_added,
+                  any_value(files_changed) AS files_changed, any_value(commit_msg_words) AS commit_msg_words FROM commits WHERE sha IS NOT NULL GROUP BY sha),
+u AS (UNPIVOT (SELECT repo, month, {", ".join(f"{m}::DOUBLE AS {m}" for m in METRICS)} FROM c) ON {", ".join(METRICS)} INTO NAME metric VALUE x),
+o AS (SELECT *, row_number() OVER (PARTITION BY repo, month, metric ORDER BY x) - 1 AS rank, count(*) OVER (PARTITION BY repo, month, metric) AS n FROM u),
+v AS (SELECT repo, month, metric, p, n, x FROM o JOIN (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in PS)}]) AS p) ON rank = floor(p * (n - 1)))
+SELECT repo, month, metric, p, n, round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * 2 * power({(1 + ALPHA) / (1 - ALPHA)!r}::DOUBLE,
+       ceil(ln(abs(x)) / ln({(1 + ALPHA) / (1 - ALPHA)!r}::DOUBLE))) / {(1 + ALPHA) / (1 - ALPHA) + 1!r}::DOUBLE END, 4) AS value FROM v
+""")
+def p4_monthly_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles for each repository and month, combined from stored sketches of single days ('none': commits without a time)."""
+    commits = distinct_commits(table(spark, sf_dir, "commits"), "repo", "authored_ts", *METRICS)
+    daily = stage(sketch(commits.withColumn("day", F.to_date("authored_ts")), ["repo", "day"], METRICS, ALPHA), "daily-sketches")
+    months = daily.withColumn("month", F.coalesce(F.date_format("day", "yyyy-MM"), F.lit("none")))
+    keys = ["repo", "month"]
+    return percentiles(merge_sketches(months, keys), keys, PS, ALPHA).withColumn("value", F.round("value", 4))
+
+
 @R.query("""
 WITH c AS (SELECT sha, any_value(list_filter(list_distinct(coalesce(filetypes, [])), lambda x: x IS NOT NULL)) AS t FROM commits WHERE sha IS NOT NULL GROUP BY sha),
 u AS (SELECT sha, unnest(t) AS t FROM c), m AS (SELECT t, count(*) AS n_x FROM u GROUP BY t),

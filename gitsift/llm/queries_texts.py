@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gitsift.llm.leaks import leaked_items
+from gitsift.llm.leaks import Tolerance, leaked_items
 from gitsift.llm.mixture import mix, shares, token_counts
 from gitsift.llm.queries import R
 from gitsift.llm.spans import class_members, shared_places, shared_portion, sharing_pairs
@@ -51,6 +51,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
+_CLEAN = r"""regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(text), '[\x{00AD}\x{200B}-\x{200D}\x{FEFF}]', '', 'g'), '(?s)<!--.*?-->|</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>', ' ', 'g'), '&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]{2,8});', ' ', 'g'), '[\pL\pN]+')"""
+
+
+@R.query(f"""
+WITH d AS (SELECT doc_id, {_CLEAN} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_CLEAN} AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 19], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS k FROM d WHERE len(w) >= 20)),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 19], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS k FROM i WHERE len(w) >= 20))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (s)
+UNION SELECT doc_id, item_id FROM d JOIN i ON len(i.w) BETWEEN 1 AND 19 AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(i.w, ' ') || ' ')
+""")
+def p7_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items of which they hold 20 consecutive words, or a shorter item whole, without any change: the same search with no edits allowed."""
+    found = leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text", Tolerance(20, 0))
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
 @R.query()
 def p7_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item with the number of documents that it leaked into."""

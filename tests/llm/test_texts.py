@@ -247,6 +247,12 @@ def test_passages_beyond_the_shortest(spark):
     assert leaks(spark, docs, [(k, " ".join(w)) for k, w in items]) == want
 
 
+def test_no_edits_allowed(spark):
+    item = [f"w{i}" for i in range(33)]
+    docs = [(1, " ".join(item[4:24])), (2, " ".join(item[4:23])), (3, " ".join(item[:10] + ["x"] + item[10:29])), (4, "x " + " ".join(item[13:]) + " y"), (5, "a b c d"), (6, "a b x c d")]
+    assert leaks(spark, docs, [(1, " ".join(item)), (2, "a b c d")], tol=Tolerance(20, 0)) == {(1, 1), (4, 1), (5, 2)}
+
+
 def test_repeated_words_and_rows(spark):
     items = [(1, "la " * 30), (2, "a b " * 15), (1, "la " * 30)]
     docs = [(1, "la " * 25), (2, "la " * 10 + "x " * 9), (3, "a b " * 40), (3, "a b " * 40), (4, "b a " * 11)]
