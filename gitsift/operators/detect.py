@@ -17,8 +17,6 @@ from gitsift.session import distinct_commits, stage, stage_all
 AUTHOR = ("repo", "email")
 NARROW = ["repo", "email", "seq", "hour_utc", "weekday_utc", "filetypes", "top_dirs", "gpg_signed", "author_committer_mismatch", "gap_seconds", "churn_ratio", "commit_delay_seconds", *P.METRICS]
 OUTPUT = ["total_loc", "loc_added", "loc_removed", "files_changed", "files_added", "files_removed", "commit_msg_words", "hour_utc"]
-BOT_REASON = "Bot author excluded from detection"
-BOT_TEXT = "This commit's author is a recognized bot account ([bot] suffix), which is excluded from detection entirely."
 GLOBAL_IN_SCORE = ["total_loc", "loc_added", "loc_removed", "files_changed", "commit_msg_words"]
 
 
@@ -175,6 +173,8 @@ def score_terms() -> list[Column]:
 
 
 # Labels and sentences of the reasons, in the order that breaks ties.
+BOT_REASON = "Bot author excluded from detection"
+BOT_TEXT = "This commit's author is a recognized bot account ([bot] suffix), which is excluded from detection entirely."
 METRIC_NAMES = {
     "total_loc": ("Total lines of code changed", "total lines changed"),
     "loc_added": ("Lines of code added", "lines added"),
@@ -202,6 +202,46 @@ AUTHOR_REASONS = [
     ("dir", "Directory rarity (author)", "This commit touches a top-level directory this author rarely or never touches (rarity %s%%)."),
 ]
 
+METRIC_TEXT = "%s%% of {whose} have %s or more {noun}."
+WHOSE = ("commits (repo-wide)", "this author's commits")
+HOUR = ("Hour of day (author)", "This commit's hour of day (UTC %d:00) is unusual for this author (%s%% rarer than their most common hour).")
+GENERIC = ("Generic message on large diff", "The commit message reads as generic ('wip'/'fix'/'update'-style) despite this being an unusually large diff.")
+MISMATCH = ("Author/committer email mismatch", "The commit's author and committer identities differ, which is unusual for this author.")
+UNSIGNED = ("Unsigned commit from usually-signing author", "This author usually signs their commits with GPG, but this one is unsigned.")
+# label, sentence where there is nothing, sentence where there is something
+TYPOSQUAT = (
+    "Possible typosquat dependency",
+    "No newly added dependency resembles a popular package name.",
+    "The newly added %s dependency '%s' closely resembles the popular package '%s' -- possible typosquat.",
+)
+DISPOSABLE = (
+    "Disposable author email domain",
+    "Author email domain is not a known disposable/temp-mail domain.",
+    "The commit author's email domain ('%s') is a known disposable/temp-mail domain.",
+)
+YOUNG_DOMAIN = (
+    "Recently-registered author email domain",
+    "Author email domain's WHOIS registration age is not suspiciously recent.",
+    "The commit author's email domain ('%s') was registered only %d days ago -- possible expired-domain account takeover.",
+)
+BINARY = (
+    "Bundled binary disguised as non-executable file",
+    "No newly added file has binary magic bytes under a non-executable-looking name.",
+    "'%s' is a native %s binary disguised under a non-executable-looking filename.",
+)
+DIRECT_URL = (
+    "Direct-URL dependency",
+    "No dependency was added/changed to a direct URL instead of a registry version.",
+    "The %s dependency '%s' was changed from a pinned version ('%s') to a direct URL ('%s'), which isn't immutable and bypasses registry integrity checks.",
+    "The newly added %s dependency '%s' points at a direct URL ('%s') instead of a registry version.",
+)
+RULE_HIT = (
+    "YARA content match",
+    "No content introduced by this commit matches a known malicious-pattern rule.",
+    "Content added to '%s' matches the '%s' pattern (%s-severity), a known malicious-code indicator%s.",
+    " (+%d more rule hit%s)",
+)
+
 
 def _decimal(x: Column) -> Column:
     """One decimal, as text."""
@@ -222,69 +262,32 @@ def reasons() -> list[tuple[str, Column, Column]]:
     def one(label: str, strength: Column, text: Column) -> None:
         out.append((label, strength, text))
 
+    def either(texts: tuple[str, ...], strength: str, nothing: Column, *values: Column) -> None:
+        one(texts[0], F.col(strength), F.when(nothing, F.lit(texts[1])).otherwise(fmt(texts[2], *values)))
+
     fmt = F.format_string
     for m, (label, noun) in METRIC_NAMES.items():
-        say = lambda side, x, whose: fmt(f"%s%% of {whose} have %s or more {noun}.", _pct(S.num(1) - F.col(x)), F.coalesce(F.col(m).cast("string"), F.lit("None")))
-        two(label, mapped(f"{m}_g"), mapped(f"{m}_a"), say("g", f"{m}_g", "commits (repo-wide)"), say("a", f"{m}_a", "this author's commits"))
-    one("Hour of day (author)", F.greatest(S.num(0), mapped("hour_a")), fmt("This commit's hour of day (UTC %d:00) is unusual for this author (%s%% rarer than their most common hour).", F.col("hour_utc"), _pct(F.col("hour_a"))))
+        g, a = (fmt(METRIC_TEXT.format(whose=whose, noun=noun), _pct(S.num(1) - F.col(f"{m}_{side}")), F.coalesce(F.col(m).cast("string"), F.lit("None"))) for side, whose in zip("ga", WHOSE))
+        two(label, mapped(f"{m}_g"), mapped(f"{m}_a"), g, a)
+    one(HOUR[0], F.greatest(S.num(0), mapped("hour_a")), fmt(HOUR[1], F.col("hour_utc"), _pct(F.col("hour_a"))))
     for k, label, text_g, text_a in TYPE_REASONS:
         show = _decimal if k == "pct" else _pct
         two(label, mapped(f"{k}_g"), mapped(f"{k}_a"), fmt(text_g, show(F.col(f"{k}_g")), F.col(f"{k}_g_label")), fmt(text_a, show(F.col(f"{k}_a")), F.col(f"{k}_a_label")))
     two(RATIO_LABEL, mapped("ratio_g"), mapped("ratio_a"), fmt(RATIO_TEXTS[0], F.col("ratio_g_label"), _pct(F.col("ratio_g"))), fmt(RATIO_TEXTS[1], F.col("ratio_a_label"), _pct(F.col("ratio_a"))))
-    one("Generic message on large diff", F.col("generic_score"), F.lit("The commit message reads as generic ('wip'/'fix'/'update'-style) despite this being an unusually large diff."))
+    one(GENERIC[0], F.col("generic_score"), F.lit(GENERIC[1]))
     for k, label, text in AUTHOR_REASONS:
         one(label, F.greatest(S.num(0), mapped(f"{k}_a")), fmt(text, _pct(F.col(f"{k}_a"))))
-    one("Author/committer email mismatch", F.col("identity_score"), F.lit("The commit's author and committer identities differ, which is unusual for this author."))
-    one("Unsigned commit from usually-signing author", F.col("signing_score"), F.lit("This author usually signs their commits with GPG, but this one is unsigned."))
-    t, u, h = F.col("typosquat"), F.col("url"), F.col("hit")
-    one(
-        "Possible typosquat dependency",
-        F.col("typosquat_score"),
-        F.when(t.isNull(), "No newly added dependency resembles a popular package name.").otherwise(
-            fmt("The newly added %s dependency '%s' closely resembles the popular package '%s' -- possible typosquat.", t["ecosystem"], t["name"], t["match"])
-        ),
-    )
-    one(
-        "Disposable author email domain",
-        F.col("disposable_score"),
-        F.when(F.col("disposable_score") == 0, "Author email domain is not a known disposable/temp-mail domain.").otherwise(
-            fmt("The commit author's email domain ('%s') is a known disposable/temp-mail domain.", F.substring_index("email", "@", -1))
-        ),
-    )
-    one(
-        "Recently-registered author email domain",
-        F.col("domain_score"),
-        F.when(F.col("domain_score") == 0, "Author email domain's WHOIS registration age is not suspiciously recent.").otherwise(
-            fmt("The commit author's email domain ('%s') was registered only %d days ago -- possible expired-domain account takeover.", F.col("domain"), F.col("age_days"))
-        ),
-    )
-    first = F.get("new_binary_files", 0)
-    one(
-        "Bundled binary disguised as non-executable file",
-        F.col("binary_score"),
-        F.when(F.col("binary_score") == 0, "No newly added file has binary magic bytes under a non-executable-looking name.").otherwise(
-            fmt("'%s' is a native %s binary disguised under a non-executable-looking filename.", first["path"], first["kind"])
-        ),
-    )
-    one(
-        "Direct-URL dependency",
-        F.col("url_score"),
-        F.when(u.isNull(), "No dependency was added/changed to a direct URL instead of a registry version.")
-        .when(
-            u["kind"] == "changed",
-            fmt("The %s dependency '%s' was changed from a pinned version ('%s') to a direct URL ('%s'), which isn't immutable and bypasses registry integrity checks.", u["ecosystem"], u["name"], u["old_spec"], u["spec"]),
-        )
-        .otherwise(fmt("The newly added %s dependency '%s' points at a direct URL ('%s') instead of a registry version.", u["ecosystem"], u["name"], u["spec"])),
-    )
-    n = F.col("n_hits")
-    more = F.when(n > 1, fmt(" (+%d more rule hit%s)", n - 1, F.when(n > 2, "s").otherwise(""))).otherwise("")
-    one(
-        "YARA content match",
-        F.col("rule_score"),
-        F.when(h.isNull(), "No content introduced by this commit matches a known malicious-pattern rule.").otherwise(
-            fmt("Content added to '%s' matches the '%s' pattern (%s-severity), a known malicious-code indicator%s.", h["path"], h["description"], h["severity"], more)
-        ),
-    )
+    one(MISMATCH[0], F.col("identity_score"), F.lit(MISMATCH[1]))
+    one(UNSIGNED[0], F.col("signing_score"), F.lit(UNSIGNED[1]))
+    t, u, h, first, n = F.col("typosquat"), F.col("url"), F.col("hit"), F.get("new_binary_files", 0), F.col("n_hits")
+    either(TYPOSQUAT, "typosquat_score", t.isNull(), t["ecosystem"], t["name"], t["match"])
+    either(DISPOSABLE, "disposable_score", F.col("disposable_score") == 0, F.substring_index("email", "@", -1))
+    either(YOUNG_DOMAIN, "domain_score", F.col("domain_score") == 0, F.col("domain"), F.col("age_days"))
+    either(BINARY, "binary_score", F.col("binary_score") == 0, first["path"], first["kind"])
+    went = fmt(DIRECT_URL[2], u["ecosystem"], u["name"], u["old_spec"], u["spec"])
+    one(DIRECT_URL[0], F.col("url_score"), F.when(u.isNull(), F.lit(DIRECT_URL[1])).when(u["kind"] == "changed", went).otherwise(fmt(DIRECT_URL[3], u["ecosystem"], u["name"], u["spec"])))
+    more = F.when(n > 1, fmt(RULE_HIT[3], n - 1, F.when(n > 2, "s").otherwise(""))).otherwise("")
+    either(RULE_HIT, "rule_score", h.isNull(), h["path"], h["description"], h["severity"], more)
     return out
 
 

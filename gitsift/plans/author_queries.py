@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gitsift.operators.eager import eager_join_aggregate, heavy_keys, roll_up
 from gitsift.operators.entity_features import BucketStore, feature_rows
 from gitsift.plans.registry import Registry
-from gitsift.session import distinct_commits, scratch_path, table
+from gitsift.session import distinct_commits, scratch_path, stage, table
 
 R = Registry()
 
@@ -134,7 +134,8 @@ SELECT email FROM c GROUP BY email HAVING count(*) * 100 >= 2 * (SELECT count(*)
 """)
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mails with at least 2 % of the distinct commits, from the states of commits joined to documents."""
-    per_author = roll_up(_commits_with_documents(spark, sf_dir, "full"), ["email"])
+    # one row per author, read for the total and for the authors
+    per_author = stage(roll_up(_commits_with_documents(spark, sf_dir, "full"), ["email"]), "author-states")
     return heavy_keys(per_author, "n_left", 2, 100).select("email")
 
 

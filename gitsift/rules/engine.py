@@ -51,13 +51,21 @@ class Text:
             return F.translate(text, UPPER, UPPER.lower()).contains(p.translate(FOLD)) if self.nocase else text.contains(p)
         if self.kind == "unicode":  # a cast does not fail on a character that the byte limit cuts
             return text.rlike(r"[\x80-\xff]") & F.encode(text, "ISO-8859-1").cast("string").rlike(("(?iu)" if self.nocase else "") + self.pattern)
-        return text.rlike(self.flags() + self.body())
+        matched = text.rlike(self.flags() + self.body())
+        part = self.literal()
+        return text.contains(part) & matched if part else matched
+
+    def literal(self) -> str:
+        """Characters that stand in every match, to be looked for first, as that is much cheaper; empty if there are none for sure."""
+        return needed_part(as_bytes(self.pattern)) if self.kind == "regex" and not self.nocase else ""
 
     def count(self, text: Column) -> Column:
         """Matches at every start, overlapping ones too."""
         if self.kind == "unicode":
             raise ValueError("strings of kind unicode are not counted")
-        return F.regexp_count(text, F.lit(f"{self.flags()}(?=(?:{self.body()}))"))
+        part = as_bytes(self.pattern) if self.kind == "text" and not self.nocase else self.literal()
+        n = F.regexp_count(text, F.lit(f"{self.flags()}(?=(?:{self.body()}))"))
+        return F.when(text.contains(part), n).otherwise(0) if part else n
 
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -87,6 +95,49 @@ def hex_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def needed_part(pattern: str) -> str:
+    """The longest run of plain characters outside groups, classes and repetitions: each match of the pattern holds it."""
+    runs, i, n = [""], 0, len(pattern)
+
+    def past_class(j: int) -> int:
+        j += 1 + pattern.startswith("^", j + 1)
+        j += pattern.startswith("]", j)
+        while j < n and pattern[j] != "]":
+            j += 2 if pattern[j] == "\\" else 1
+        return j + 1
+
+    while i < n:
+        c, plain, j = pattern[i], "", i + 1
+        if c == "|":
+            return ""
+        if c == "(":
+            depth = 1
+            while j < n and depth:
+                if pattern[j] == "[":
+                    j = past_class(j)
+                    continue
+                depth += (pattern[j] == "(") - (pattern[j] == ")")
+                j += 2 if pattern[j] == "\\" else 1
+        elif c == "[":
+            j = past_class(i)
+        elif c == "\\" and i + 1 < n:
+            j = i + 2
+            plain = "" if pattern[i + 1].isalnum() else pattern[i + 1]
+            if pattern[i + 1] == "x":
+                j = i + 4
+        elif c not in "^$.":
+            plain = c
+        repeated = j < n and pattern[j] in "?*{"
+        if plain and not repeated:
+            runs[-1] += plain
+        if not plain or j < n and pattern[j] in "?*{+":
+            runs.append("")
+            while j < n and pattern[j] in "?*+{":
+                j = pattern.index("}", j) + 1 if pattern[j] == "{" else j + 1
+        i = j
+    return max(runs, key=len)
+
+
 def to_java(pattern: str) -> str:
     """The pattern in Java's dialect: ASCII word borders by look-around, $ only at the very end."""
     out, i, in_class = [], 0, False

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gitsift.plans.commit_queries import rule_scan
 from gitsift.rules.basic import BASIC
-from gitsift.rules.engine import SCAN_BYTES, Rule, Text, load_rules, path_excluded, path_matches, scan
+from gitsift.rules.engine import SCAN_BYTES, Rule, Text, load_rules, needed_part, path_excluded, path_matches, scan
 
 
 def hits(spark, rules, files):
@@ -34,6 +34,20 @@ def test_dialect(spark):
     assert one(spark, "[x]", ["any"], s=Text(r"[[\]]x"))
 
 
+def test_needed_part():
+    import random
+    import re
+
+    cases = {r"\bsubprocess\.(?:run|call)\b": "subprocess.", r"a|bcd": "", r"x?yz*uv+w": "uv", r"\\x[0-9a-f]{2}": "\\x", r"(?:curl|wget)\s+-?": "", r"[]a]bc[^]d]": "bc", r"ab{2}cde": "cde", r"\x41bc": "bc", r"(a[)]b)cd": "cd", r"a\(b": "a(b", "": "", r"(a\)|b)?xy": "xy", r"ab+?c": "ab"}
+    assert {p: needed_part(p) for p in cases} == cases
+    r = random.Random(1)
+    for p in cases:
+        for _ in range(300):
+            t = "".join(r.choice(["a", "b", "c", "d", "e", "x", "y", "u", "v", "w", "subprocess.", "run", "\\x", "(", ")", "2f", "cde", "curl -"]) for _ in range(8))
+            if re.search(p, t):
+                assert needed_part(p) in t
+
+
 def test_decoded_characters(spark):
     s = Text(r"\p{IsLatin}\p{IsCyrillic}", "unicode")
     assert one(spark, "pаypal", ["any"], s=s) and not one(spark, "plain", ["any"], s=s) and not one(spark, "а b", ["any"], s=s) and one(spark, "é" + "bж", ["any"], s=s)
