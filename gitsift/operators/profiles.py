@@ -29,15 +29,14 @@ def weighted_ecdf(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     v = F.col("value")
     bucket = F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 16)
-    rows = values.withColumn("_bucket", bucket)
-    totals = rows.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_in"), F.min("value").alias("_least"))
-    order = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*keys, "_bucket", F.coalesce(F.sum("_in").over(order), F.lit(0)).alias("_below"), F.sum("_in").over(W.partitionBy(*keys)).alias("_total"), F.min("_least").over(W.partitionBy(*keys)).alias("low"))
-    inside = F.sum("n").over(W.partitionBy(*keys, "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = rows.withColumn("_inside", inside)
-    on = [ranked[k].eqNullSafe(totals[k]) for k in [*keys, "_bucket"]]
-    joined = ranked.join(totals, on)
-    return joined.select(*[ranked[k] for k in keys], "value", "n", "low", ((F.col("_below") + F.col("_inside")) / F.col("_total")).alias("ecdf"))
+    # the keys as one value, equal where both have nulls: windows and join then share one shuffle
+    rows = values.select(F.struct(*keys).alias("_key"), bucket.alias("_bucket"), "value", "n")
+    totals = rows.groupBy("_key", "_bucket").agg(F.sum("n").alias("_in"), F.min("value").alias("_least"))
+    order = W.partitionBy("_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_key", "_bucket", F.coalesce(F.sum("_in").over(order), F.lit(0)).alias("_below"), F.sum("_in").over(W.partitionBy("_key")).alias("_total"), F.min("_least").over(W.partitionBy("_key")).alias("low"))
+    inside = F.sum("n").over(W.partitionBy("_key", "_bucket").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    joined = rows.withColumn("_inside", inside).join(totals, ["_key", "_bucket"])
+    return joined.select(*[F.col(f"_key.{k}").alias(k) for k in keys], "value", "n", "low", ((F.col("_below") + F.col("_inside")) / F.col("_total")).alias("ecdf"))
 
 
 def tail_fits(values: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -18,6 +18,7 @@ from gitsift.plans.profile_queries import LONG, _commits, _fits
 from gitsift.plans.registry import Registry
 from gitsift.rules.basic import BASIC
 from gitsift.rules.engine import EXCLUDED_DIRS, Rule, Text, number, path_excluded, path_matches, scan, truth
+from gitsift.rules.textfiles import parse_rules
 from gitsift.session import scratch_path, table
 from gitsift.sources import files
 from gitsift.streaming import scorer
@@ -252,7 +253,7 @@ def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORED = detect_sql(_FORMS, _SQUATS, _SQL_URL, str(AS_OF))
 
 
-@R.query(_SCORED + "SELECT * REPLACE (coalesce(files_changed, -1) AS files_changed, coalesce(commit_msg_words, -1) AS commit_msg_words) FROM scored")
+@R.query(_SCORED + "SELECT * EXCLUDE (top) REPLACE (coalesce(files_changed, -1) AS files_changed, coalesce(commit_msg_words, -1) AS commit_msg_words) FROM scored")
 def detect_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, decision and reasons of the latest commits of every repository; the reasons as one text, as in the written results, unknown sizes as -1."""
     return files.flat(_detected(spark, sf_dir)).fillna(-1, ["files_changed", "commit_msg_words"])
@@ -264,6 +265,57 @@ def detect_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.flagged_counts(_detected(spark, sf_dir))
 
 
+@R.query(_SCORED + r""", f AS (SELECT * FROM scored WHERE decision = 'Unusual')
+SELECT repo, repo || ': ' || count(*) || ' commits scored, ' || count(*) FILTER (decision = 'Unusual') || ' flagged Unusual' AS line FROM scored GROUP BY repo
+UNION ALL SELECT repo, '  ' || sha || '  ' || email || repeat(' ', greatest(30 - length(email), 0)) || ' score=' || printf('%.3f', decision_val) FROM f
+UNION ALL SELECT repo, '      - ' || r.t FROM (SELECT repo, unnest(top[1:3]) AS r FROM f)""")
+def detect_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the report: totals, flagged commits, their first three reasons."""
+    return files.report_lines(_detected(spark, sf_dir))
+
+
+@R.query("SELECT ecosystem, name FROM popular")
+def package_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The popular packages written as one JSON list for each ecosystem, and read back from these."""
+    out = scratch_path(spark, "packages")
+    lists = table(spark, sf_dir, "popular").groupBy("ecosystem").agg(F.collect_list("name").alias("packages"))  # reference lists of some thousand names
+    lists.write.partitionBy("ecosystem").json(out)
+    return files.read_popular(spark, {r[0]: f"{out}/ecosystem={r[0]}" for r in lists.select("ecosystem").collect()})
+
+
+@R.query("SELECT DISTINCT lower(regexp_extract(email, '.*@(.*)', 1)) AS domain FROM commits WHERE sha IS NOT NULL AND contains(email, '@') AND regexp_extract(email, '.*@(.*)', 1) <> ''")
+def domain_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The e-mail domains of all authors written as a text file, in capitals and with comments, and read back as a list of domains."""
+    out = scratch_path(spark, "domains")
+    domains = table(spark, sf_dir, "commits").where("sha is not null").select(F.upper(C.email_domain(F.col("email"))).alias("d")).distinct().where("d <> ''")
+    domains.select(F.explode(F.array(F.lit("# a comment"), F.lit(""), F.concat(F.lit("  "), "d", F.lit(" ")))).alias("value")).write.text(out)
+    return files.read_domains(spark, out)
+
+
+NOTATION = r"""
+private rule added_file { strings: $a = "+++ b/" condition: $a }
+rule signed { meta: description = "Signed off" severity = "low" strings: $a = "SIGNED off AFTER" nocase $b = /shrank\s+by\s+[0-9]{3,}?/i condition: any of them }
+rule hunk_head { strings: $h = { 40 40 20 2D ?? [0-6] 2C } condition: $h }
+rule latin_letters { strings: $a = /\xc3[\x80-\xbf]/ condition: $a }
+rule go_or_rb { meta: severity = "high" strings: $a1 = /b\/[a-z]{2,12}?\/[a-z]{2,12}?\.go/ $a2 = /b\/[a-z]{2,12}?\/[a-z]{2,12}?\.rb/ $b = "def " condition: 2 of ($a*, $b) }
+rule many_returns { strings: $r = "return " $d = /^-\s/ condition: #r + #d > 2 }
+rule added_not_signed { condition: added_file and not signed }
+"""
+
+
+@R.query(r"""WITH d AS (SELECT doc_id, text AS t FROM documents WHERE text <> ''),
+b AS (SELECT doc_id, contains(t, '+++ b/') AS added, regexp_matches(t, '(?i)SIGNED off AFTER|shrank\s+by\s+[0-9]{3}') AS signed, regexp_matches(t, '(?s)@@ -..{0,6},') AS head, regexp_matches(t, '[\x{C0}-\x{FF}]') AS latin,
+  regexp_matches(t, 'b/[a-z]{2,12}/[a-z]{2,12}\.go')::INT + regexp_matches(t, 'b/[a-z]{2,12}/[a-z]{2,12}\.rb')::INT + contains(t, 'def ')::INT AS two, len(regexp_extract_all(t, 'return ')) + regexp_matches(t, '^-\s')::INT AS returns FROM d),
+r AS (SELECT doc_id, unnest([CASE WHEN signed THEN ['signed', 'Signed off', 'low'] END, CASE WHEN head THEN ['hunk_head', 'hunk_head', 'medium'] END, CASE WHEN latin THEN ['latin_letters', 'latin_letters', 'medium'] END,
+  CASE WHEN two >= 2 THEN ['go_or_rb', 'go_or_rb', 'high'] END, CASE WHEN returns > 2 THEN ['many_returns', 'many_returns', 'medium'] END, CASE WHEN added AND NOT signed THEN ['added_not_signed', 'added_not_signed', 'medium'] END]) AS h FROM b)
+SELECT doc_id, h[1] AS rule_id, h[2] AS description, h[3] AS severity FROM r WHERE h IS NOT NULL""")
+def rule_notation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in all documents of rules read from the text notation: case, hexadecimal strings with gaps, classes of bytes, lazy and bounded repetition, n of some, counts, references."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit("document").alias("path"), "text")
+    hits = scan(d, parse_rules(NOTATION), max_bytes=None).select("doc_id", F.explode_outer("yara_hits").alias("h")).where(F.col("h").isNotNull())
+    return hits.select("doc_id", "h.rule_id", "h.description", "h.severity")
+
+
 @R.query(f"""WITH {COMMITS}, {LONG}, {_fits('repo')}
 SELECT sha, repo, email, total_loc, round(1 - power(alpha / total_loc, beta), 5) AS rarity FROM c JOIN fit USING (repo) WHERE metric = 'total_loc' AND total_loc <> 0 AND 1 - power(alpha / total_loc, beta) >= 0.9""")
 def stream_tail_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

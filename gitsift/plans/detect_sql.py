@@ -94,7 +94,7 @@ TERMS = ", ".join([
 
 
 def detect_sql(forms: str, squats: str, url: str, as_of: str) -> str:
-    """CTEs that end in ``scored``: a row per scored commit with value, decision and reasons."""
+    """CTEs that end in ``scored``: a row per scored commit with value, decision and reasons (``top``: as a list)."""
     known = "(n_author > 20)"
     author = lambda x, default: f"CASE WHEN {known} THEN coalesce({x}, {default}) ELSE {default} END"
     return rf"""WITH RECURSIVE {COMMITS}, {PROFILE}, {LONG}, {_fits("repo", "g")}, {_fits("repo, email", "a")}, {_HABITS}, {forms}, {squats},
@@ -130,5 +130,5 @@ b2 AS (SELECT *, contains(lower(email), '[bot]') AS bot, CASE WHEN total >= 5 AN
 b3 AS (SELECT *, CASE WHEN bot THEN 0 ELSE 1 - list_aggregate(list_transform([{TERMS}], lambda v: 1 - v), 'product') END AS value, list_sort([{REASONS}])[1:5] AS top FROM b2),
 scored AS (SELECT repo, seq, sha[1:7] AS sha, email, CASE WHEN NOT bot AND value >= 0.962 THEN 'Unusual' ELSE 'Normal' END AS decision, round(value, 4) AS decision_val, total_loc, loc_added, loc_removed, files_changed, files_added, files_removed, commit_msg_words, hour_utc,
   CASE WHEN bot THEN 'Bot author excluded from detection' ELSE array_to_string(list_transform(top, lambda x: x.l || ' (score ' || printf('%.2f', -x.k) || ')'), ' | ') END AS top_reasons,
-  CASE WHEN bot THEN 'This commit''s author is a recognized bot account ([bot] suffix), which is excluded from detection entirely.' ELSE array_to_string(list_transform(top, lambda x: x.t), ' | ') END AS top_reasons_explained FROM b3)
+  CASE WHEN bot THEN 'This commit''s author is a recognized bot account ([bot] suffix), which is excluded from detection entirely.' ELSE array_to_string(list_transform(top, lambda x: x.t), ' | ') END AS top_reasons_explained, top FROM b3)
 """

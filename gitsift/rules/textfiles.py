@@ -190,6 +190,14 @@ class Reader:
         return int(token) if token.isdigit() else ["count", token[1:]] if token[:1] == "#" else self.fail("expected a number")
 
 
+def parse_rules(text: str, name: str = "rules") -> list[Rule]:
+    """Rules of one text without includes."""
+    includes, rules = Reader(text, name).file()
+    if includes:
+        raise ValueError(f"{name}: a text by itself cannot include files")
+    return rules
+
+
 def read_rules(folder: str, suffix: str = ".yar") -> list[Rule]:
     """All rules of the folder's files in name order, each included file once, before the file that includes it first."""
     out: list[Rule] = []

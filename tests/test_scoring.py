@@ -62,6 +62,11 @@ def test_ecdf_counts_ties(spark, xs):
         assert 0 < r.ecdf <= 1
 
 
+def test_ecdf_of_null_keys(spark):
+    df = spark.createDataFrame([("a", None, 1.0, 2), ("a", None, 5.0, 2), (None, None, 1.0, 1), ("a", "b", 1.0, 1)], "k string, m string, value double, n long")
+    assert {(r.k, r.m, r.value): r.ecdf for r in P.weighted_ecdf(df, ["k", "m"]).collect()} == {("a", None, 1.0): 0.5, ("a", None, 5.0): 1.0, (None, None, 1.0): 1.0, ("a", "b", 1.0): 1.0}
+
+
 def test_circular_rarity(spark):
     hours = [random.Random(1).randrange(24) for _ in range(30)] + [9] * 30
     hist = [hours.count(h) for h in range(24)]
