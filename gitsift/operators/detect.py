@@ -244,8 +244,8 @@ RULE_HIT = (
 
 
 def _decimal(x: Column) -> Column:
-    """One decimal, as text."""
-    return F.format_string("%.1f", F.round(x, 1))
+    """One decimal, as text; half up, whatever the last digits of sums and quotients."""
+    return F.format_string("%.1f", F.round(F.round(x, 9), 1))
 
 
 def _pct(x: Column) -> Column:

@@ -37,7 +37,7 @@ def _m(x: str) -> str:
 
 
 def _pct(x: str) -> str:
-    return f"printf('%.1f', round(({x}) * 100.0, 1))"
+    return f"printf('%.1f', round(round(({x}) * 100.0, 9), 1))"
 
 
 def _reason(i: int, strength: str, label: str, text: str) -> str:
@@ -66,7 +66,7 @@ REASONS = ",\n".join([
     _size(5, "files_removed", "Files removed", "files removed"),
     _size(6, "commit_msg_words", "Commit message length", "words in the commit message"),
     _reason(7, f"greatest(0, {_m('hour_a')})", "Hour of day (author)", f"'This commit''s hour of day (UTC ' || hour_utc || ':00) is unusual for this author (' || {_pct('hour_a')} || '% rarer than their most common hour).'"),
-    _two(8, _m("1 - pct_g / 100"), _m("1 - pct_a / 100"), "Filetype rarity (%)", "'Only ' || printf('%.1f', round(pct_g, 1)) || '% of all file changes (repo-wide) are to ''' || pct_g_l || ''' files.'", "'Only ' || printf('%.1f', round(pct_a, 1)) || '% of this author''s file changes are to ''' || pct_a_l || ''' files.'"),
+    _two(8, _m("1 - pct_g / 100"), _m("1 - pct_a / 100"), "Filetype rarity (%)", "'Only ' || printf('%.1f', round(round(pct_g, 9), 1)) || '% of all file changes (repo-wide) are to ''' || pct_g_l || ''' files.'", "'Only ' || printf('%.1f', round(round(pct_a, 9), 1)) || '% of this author''s file changes are to ''' || pct_a_l || ''' files.'"),
     _two(9, _m("1 - freq_g"), _m("1 - freq_a"), "Filetype rarity (per-commit)", f"'Only ' || {_pct('freq_g')} || '% of commits (repo-wide) ever touch ''' || freq_g_l || ''' files.'", f"'Only ' || {_pct('freq_a')} || '% of this author''s commits ever touch ''' || freq_a_l || ''' files.'"),
     _two(10, _m("1 - pair_g"), _m("1 - pair_a"), "Filetype combo frequency", f"'Only ' || {_pct('pair_g')} || '% of commits (repo-wide) touch ''' || pair_g_l || ''' files together.'", f"'Only ' || {_pct('pair_a')} || '% of this author''s commits touch ''' || pair_a_l || ''' files together.'"),
     _two(11, _m("1 - ratio_g"), _m("1 - ratio_a"), "Filetype combo ratio", f"'The relative amounts of ''' || ratio_g_l || ''' files in this commit are atypical for the repo (match ' || {_pct('ratio_g')} || '%).'", f"'The relative amounts of ''' || ratio_a_l || ''' files in this commit are atypical for this author (match ' || {_pct('ratio_a')} || '%).'"),
