@@ -77,24 +77,29 @@ class BucketStore:
     ``values``: numeric columns that are summed (nulls are skipped and counted apart).
     ``unique``: column naming an event, if one may be delivered many times (null: not an event).
 
-    A bucket is cut into ``slots``, each made and written by one task: choose them so that the events of a slot fit
-    one. An entity's events of a bucket go to ``spread`` of them, so that a frequent entity is no single task; its states of
+    A bucket is cut into slots of about ``rows_a_slot`` events, by its count, each made and written by one task. An entity's events of a
+    bucket go to a third of its slots, so an entity that owns a third of all makes no slot more than twice as large; its states of
     these slots are added up when they are read.
     """
 
-    def __init__(self, path: str, entity: Sequence[str], types: str, ts: str, order: str, values: Sequence[str] = (), unique: str | None = None, slots: int = 8, spread: int = 4):
+    def __init__(self, path: str, entity: Sequence[str], types: str, ts: str, order: str, values: Sequence[str] = (), unique: str | None = None, rows_a_slot: int = 2_000_000):
         self.path, self.entity, self.types, self.ts, self.order = path, list(entity), types, ts, order
-        self.values, self.unique, self.slots, self.spread = list(values), unique, slots, min(spread, slots)
+        self.values, self.unique, self.rows_a_slot = list(values), unique, rows_a_slot
 
     def _states(self, events: DataFrame) -> DataFrame:
         cols = list(dict.fromkeys([*self.entity, self.types, self.ts, self.order, *self.values, *([self.unique] if self.unique else [])]))
+        all_events = events.select(self.ts)
         events = events.select(*cols)
         if self.unique:
             events = events.where(F.col(self.unique).isNotNull()).dropDuplicates([self.unique])
-        part = F.pmod(F.xxhash64(self.unique) if self.unique else F.xxhash64(self.ts, self.order), F.lit(self.spread))
-        slot = F.pmod(F.pmod(F.xxhash64(*self.entity), F.lit(self.slots)) + part, F.lit(self.slots)).cast("int")
+        name = bucket_of(F.col(self.ts))
+        sizes = {b: -(-n // self.rows_a_slot) for b, n in all_events.groupBy(name).count().collect()}  # one number a bucket
+        slots = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("_bucket")] if sizes else F.lit(1)
+        spread = F.ceil(slots / 3)
+        part = F.pmod(F.xxhash64(self.unique) if self.unique else F.xxhash64(self.ts, self.order), spread)
+        slot = F.pmod(F.pmod(F.xxhash64(*self.entity), slots) + part, slots).cast("int")
         # one shuffle by slot serves the aggregate and the files
-        placed = events.withColumns({"_bucket": bucket_of(F.col(self.ts)), "_slot": slot}).repartition("_bucket", "_slot")
+        placed = events.withColumn("_bucket", name).withColumn("_slot", slot).repartition("_bucket", "_slot")
         return partials(typed_events(placed, self.entity, self.types, self.ts, self.order, self.values), self.entity, self.values)
 
     def _write(self, states: DataFrame) -> None:

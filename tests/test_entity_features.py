@@ -21,8 +21,8 @@ def events(n, seed=3):
     return out
 
 
-def store(spark, path):
-    return BucketStore(str(path), ("who",), "dirs", "at", "ord", ("v",), unique="id")
+def store(spark, path, rows_a_slot=7):
+    return BucketStore(str(path), ("who",), "dirs", "at", "ord", ("v",), unique="id", rows_a_slot=rows_a_slot)
 
 
 def brute(rows, start=None, end=None):
@@ -41,6 +41,13 @@ def as_dict(frame):
     return {(r.who, r._type): (r.n, r.last_ts) for r in frame.collect()}
 
 
+def test_slots_do_not_change_features(spark, tmp_path):
+    rows = events(300)
+    df = spark.createDataFrame(rows + rows[:50], SCHEMA)
+    for k, n in enumerate((1, 30, 10**6)):
+        assert as_dict(store(spark, tmp_path / str(k), n).build(df).features(spark)) == brute(rows)
+
+
 def test_all_time(spark, tmp_path):
     rows = events(300)
     s = store(spark, tmp_path / "s").build(spark.createDataFrame(rows + rows[:50], SCHEMA))
