@@ -13,6 +13,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BUCKET_FORMAT = "yyyy-MM"
 NO_TIME = "none"
@@ -85,6 +86,7 @@ class BucketStore:
     def __init__(self, path: str, entity: Sequence[str], types: str, ts: str, order: str, values: Sequence[str] = (), unique: str | None = None, rows_a_slot: int = 2_000_000):
         self.path, self.entity, self.types, self.ts, self.order = path, list(entity), types, ts, order
         self.values, self.unique, self.rows_a_slot = list(values), unique, rows_a_slot
+        self.schema: StructType | None = None  # of what was written, as a store without events has no file to tell it
 
     def _states(self, events: DataFrame) -> DataFrame:
         cols = list(dict.fromkeys([*self.entity, self.types, self.ts, self.order, *self.values, *([self.unique] if self.unique else [])]))
@@ -103,6 +105,7 @@ class BucketStore:
         return partials(typed_events(placed, self.entity, self.types, self.ts, self.order, self.values), self.entity, self.values)
 
     def _write(self, states: DataFrame) -> None:
+        self.schema = states.drop("_slot", "_bucket").withColumn("_bucket", F.lit("")).schema
         states.drop("_slot").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
 
     def build(self, events: DataFrame) -> BucketStore:
@@ -126,7 +129,13 @@ class BucketStore:
         return changed
 
     def states(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(self.path)
+        return (spark.read.schema(self.schema) if self.schema else spark.read).parquet(self.path)
+
+    def by(self, entity: Sequence[str]) -> BucketStore:
+        """The same store, its features taken by fewer key columns."""
+        out = BucketStore(self.path, entity, self.types, self.ts, self.order, self.values, self.unique, self.rows_a_slot)
+        out.schema = self.schema
+        return out
 
     def features(self, spark: SparkSession, events: DataFrame | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """One row per (entity, type) over ``start <= ts < end``; type null is the entity as a whole.

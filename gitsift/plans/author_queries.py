@@ -80,7 +80,7 @@ def p2_author_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per author: commits, recency, totals, and per directory ``name=count@last time:gap seconds:churn in thousandths``."""
     store = _author_store(spark, sf_dir, VALUES)
     states = store.states(spark)
-    by_author = BucketStore(store.path, ("email",), store.types, store.ts, store.order, VALUES).features(spark)
+    by_author = store.by(["email"]).features(spark)
     rows = feature_rows(by_author, ("email",), VALUES)
     newest = states.agg(F.unix_timestamp(F.max("last_ts")).alias("t")).scalar()
     whole = lambda x, scale: F.coalesce(F.round(x * scale).cast("long"), F.lit(0))
